@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = BATCH_BYTES)
     if not n:
         return
     text = batch.column(column)
-    lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0)).astype(np.int64)
+    lens = np.asarray(pc.fill_null(pc.binary_length(text), 0)).astype(np.int64)
     at, total = 0, 0
     for i, x in enumerate(lens.tolist()):
         if i > at and total + x > size:
