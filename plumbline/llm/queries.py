@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, media, neardup, packing, warc
-from plumbline.llm.common import table
+from plumbline.llm import ann, bpe, langid, licenses, media, neardup, packing, pii, toxicity, warc
+from plumbline.llm.common import fold_of, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +21,32 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, num=80, den=100)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, fold_of(F.col("doc_id"), 4) != 2)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.describe(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 3) != 1)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.usable(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(rows.filter(F.col("id") % 100 == 0), rows, 10)
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.roundtrip(table(spark, sf_dir, "documents"))
 
@@ -32,8 +55,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_neardup, op5_packing, op8_media, op9_warc)}
+    return {f.__name__: f for f in (op1_bpe, op2_neardup, op3_langid, op4_pii, op5_packing, op6_toxicity, op7_ann, op8_media, op9_warc, op10_licenses)}
 
 
 #: SHA-1 in base 32: each five hex digits are four letters.
