@@ -159,7 +159,7 @@ def components(links: DataFrame) -> DataFrame:
         return links.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0)
     out = steps[0]
     for to in steps[1:]:
-        out = out.join(to.withColumnsRenamed({"id": "root", "root": "next"}), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+        out = out.join(to.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
     return stored(out, "roots") if len(steps) > 1 else out
 
 
