@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import calibration, formulas
+from plumbline.plans import calibration, formulas, solvers
 
-MODULES = (calibration, formulas)
+MODULES = (calibration, formulas, solvers)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

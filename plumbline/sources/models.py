@@ -1,0 +1,271 @@
+"""Camera models as text in several formats, parsed into and written from one record form.
+
+A model is a dict: lensmodel, intrinsics, imagersize, rt_cam_ref, icam_intrinsics,
+valid_intrinsics_region (None: unknown; empty: nowhere; else a closed polygon).  ``read``
+gives one row a file; ``write`` one file a row.
+"""
+
+from __future__ import annotations
+
+import ast
+import os
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.functions import lens, pose
+from plumbline.functions.scalars import NUMPY, values
+
+SCHEMA = "path string, name string, lensmodel string, intrinsics array<double>, imagersize array<int>, rt_cam_ref array<double>, icam_intrinsics int, valid_intrinsics_region array<array<double>>"
+
+
+def _rt(f: Callable, *a) -> list[float]:
+    return values([np.asarray(x, float) for x in f(NUMPY, *[[np.float64(v) for v in x] for x in a])]).tolist()
+
+
+def validate(m: dict) -> dict:
+    n = lens.lensmodel(m["lensmodel"]).num_params
+    if len(m["intrinsics"]) != n:
+        raise ValueError(f"{m['lensmodel']} takes {n} parameters, not {len(m['intrinsics'])}")
+    if len(m["rt_cam_ref"]) != 6:
+        raise ValueError("a pose has six numbers")
+    if len(m["imagersize"]) != 2 or min(m["imagersize"]) <= 0:
+        raise ValueError("the imager's size is two positive numbers")
+    r = m.get("valid_intrinsics_region")
+    if r is not None and len(r) and (len(r) < 4 or np.abs(np.subtract(r[0], r[-1])).max() > 1e-6):
+        raise ValueError("a valid-intrinsics region is a closed polygon")
+    return m
+
+
+# -- native: a Python dict literal -----------------------------------------------------------------
+def parse_native(text: str) -> dict:
+    d = ast.literal_eval(text[text.index("{") :])
+    name = d.get("lensmodel") or d.get("lens_model") or d.get("distortion_model")
+    if name is None:
+        raise ValueError("a model names its lens model")
+    name = name.replace("DISTORTION_", "LENSMODEL_").replace("LENSMODEL_NONE", "LENSMODEL_PINHOLE")
+    rt, old = d.get("rt_cam_ref"), d.get("extrinsics")
+    if rt is None and old is None:
+        raise ValueError("a model has a pose")
+    if rt is not None and old is not None and np.abs(np.subtract(rt, old)).max() > 1e-9:
+        raise ValueError("the two poses of a model differ")
+    region = d.get("valid_intrinsics_region", d.get("valid_intrinsics_region_contour"))
+    return validate({"lensmodel": name, "intrinsics": [float(x) for x in d["intrinsics"]], "imagersize": [int(x) for x in d["imagersize"]], "rt_cam_ref": [float(x) for x in (rt if rt is not None else old)], "icam_intrinsics": d.get("icam_intrinsics"), "valid_intrinsics_region": None if region is None else [[float(v) for v in p] for p in region]})
+
+
+def format_native(m: dict, note: str | None = None) -> str:
+    num = lambda xs: "[ " + ", ".join(f"{x:.10g}" for x in xs) + " ]"
+    lines = [f"# {x}" for x in (note or "").splitlines()] + ["{", f"    'lensmodel':  '{m['lensmodel']}',", f"    'intrinsics': {num(m['intrinsics'])},"]
+    if m.get("valid_intrinsics_region") is not None:
+        lines.append("    'valid_intrinsics_region': [ " + ", ".join(num(p) for p in m["valid_intrinsics_region"]) + " ],")
+    lines += [f"    'rt_cam_ref': {num(m['rt_cam_ref'])},", f"    'extrinsics': {num(m['rt_cam_ref'])},", f"    'imagersize': [ {int(m['imagersize'][0])}, {int(m['imagersize'][1])} ],"]
+    if m.get("icam_intrinsics") is not None:
+        lines.append(f"    'icam_intrinsics': {int(m['icam_intrinsics'])},")
+    return "\n".join([*lines, "}", ""])
+
+
+# -- CAHVOR ------------------------------------------------------------------------------------
+def _keys(text: str) -> dict[str, str]:
+    out = {}
+    for line in text.splitlines():
+        k, found, v = line.split("#")[0].partition("=")
+        if found:
+            out[k.strip()] = v.strip()
+    return out
+
+
+def parse_cahvor(text: str) -> dict:
+    """Vectors C A H V O R E: A the axis, H = fx x + cx A, V = fy y + cy A; O and R bend rays."""
+    k = _keys(text)
+    vec = {n: np.array([float(x) for x in re.split(r"[\s,]+", k[n]) if x]) for n in "CAHVORE" if n in k}
+    A, H, V = vec["A"], vec["H"], vec["V"]
+    cx, cy = float(H @ A), float(V @ A)
+    hx, vy = H - cx * A, V - cy * A
+    fx, fy = float(np.linalg.norm(hx)), float(np.linalg.norm(vy))
+    R = np.stack([hx / fx, vy / fy, A])  # ref to camera
+    rt = _rt(pose.rt_from_Rt, [*R.ravel(), *(-R @ vec["C"])])
+    core = [fx, fy, cx, cy]
+    size = [int(x) for x in re.split(r"[\s,]+", k["Dimensions"]) if x] if "Dimensions" in k else [int(2 * cx + 1), int(2 * cy + 1)]
+    model = {"rt_cam_ref": rt, "imagersize": size, "icam_intrinsics": None, "valid_intrinsics_region": ast.literal_eval(k["VALID_INTRINSICS_REGION"]) if "VALID_INTRINSICS_REGION" in k else None}
+    if "O" not in vec:
+        return validate(model | {"lensmodel": "LENSMODEL_PINHOLE", "intrinsics": core})
+    o = R @ vec["O"]
+    beta = float(np.arcsin(o[1] / np.linalg.norm(o)))
+    alpha = float(np.arctan2(o[0], o[2]))
+    i = [*core, alpha, beta, *vec.get("R", np.zeros(3)).tolist()]
+    if "E" in vec:
+        kind = k.get("cahvore_linearity") or {"1": "1", "2": "0"}.get(k.get("Type", "").split()[0] if k.get("Type") else "", "0")
+        return validate(model | {"lensmodel": f"LENSMODEL_CAHVORE_linearity={float(kind):.2f}", "intrinsics": [*i, *vec["E"].tolist()]})
+    return validate(model | {"lensmodel": "LENSMODEL_CAHVOR" if np.abs(i[4:]).max() > 0 else "LENSMODEL_PINHOLE", "intrinsics": i if np.abs(i[4:]).max() > 0 else core})
+
+
+def format_cahvor(m: dict) -> str:
+    kind = m["lensmodel"]
+    if kind != "LENSMODEL_PINHOLE" and not kind.startswith("LENSMODEL_CAHVOR"):
+        raise ValueError(f"{kind} can't be written as CAHVOR")
+    fx, fy, cx, cy, *rest = m["intrinsics"]
+    Rt = np.array(_rt(pose.Rt_from_rt, m["rt_cam_ref"]))
+    R, t = Rt[:9].reshape(3, 3), Rt[9:]
+    line = lambda n, v: f"{n} = " + " ".join(f"{x:15.10f}" for x in v)
+    out = [f"Model = {'CAHV' if not rest else 'CAHVORE' if 'CAHVORE' in kind else 'CAHVOR'}", f"Dimensions = {m['imagersize'][0]} {m['imagersize'][1]}", line("C", -R.T @ t), line("A", R[2]), line("H", fx * R[0] + cx * R[2]), line("V", fy * R[1] + cy * R[2])]
+    if rest:
+        a, b = rest[:2]
+        out += [line("O", R.T @ np.array([np.sin(a) * np.cos(b), np.sin(b), np.cos(a) * np.cos(b)])), line("R", rest[2:5])]
+        if "CAHVORE" in kind:
+            out += [line("E", rest[5:8]), f"cahvore_linearity = {lens.lensmodel(kind).linearity}"]
+    if m.get("valid_intrinsics_region") is not None:
+        out.append(f"VALID_INTRINSICS_REGION = {m['valid_intrinsics_region']}")
+    return "\n".join(out) + "\n"
+
+
+def parse_transforms(text: str) -> dict:
+    """Named poses ``a_from_b = [r; t]`` lines: {"veh_from_ins": rt, "ins_from_camera": {id: rt}}."""
+    out: dict = {"veh_from_ins": None, "ins_from_camera": {}}
+    for k, v in _keys(text).items():
+        rt = [float(x) for x in re.findall(r"[-+0-9.eE]+", v)][:6]
+        if m := re.fullmatch(r"ins_from_camera(?:\{|\[)?(\d+)(?:\}|\])?", k):
+            out["ins_from_camera"][int(m[1])] = rt
+        elif k == "veh_from_ins":
+            out[k] = rt
+    return out
+
+
+# -- YAML formats --------------------------------------------------------------------------------
+def parse_yaml(text: str) -> dict:
+    """The subset that calibration files use: nested maps by indentation, inline and dashed lists, scalars."""
+
+    def scalar(s: str):
+        s = s.strip()
+        if s.startswith("["):
+            return ast.literal_eval(re.sub(r"(?<![\w.'\"])([A-Za-z/_][\w/]*)", r"'\1'", s))
+        for f in (int, float):
+            try:
+                return f(s)
+            except ValueError:
+                pass
+        return s.strip("'\"")
+
+    lines, buffer = [], ""
+    for raw in text.splitlines():
+        raw = re.sub(r"\s+#.*$|^#.*$|^%.*$|^---.*$", "", raw.rstrip())
+        raw = raw.replace("!!opencv-matrix", "")
+        buffer = f"{buffer} {raw.strip()}" if buffer else raw
+        if buffer.count("[") > buffer.count("]"):
+            continue
+        if buffer.strip():
+            lines.append((len(buffer) - len(buffer.lstrip()), buffer.strip()))
+        buffer = ""
+
+    def block(at: int, indent: int):
+        if lines[at][1].startswith("- "):
+            out: list | dict = []
+            while at < len(lines) and lines[at][0] == indent and lines[at][1].startswith("- "):
+                out.append(scalar(lines[at][1][2:]))
+                at += 1
+            return out, at
+        out = {}
+        while at < len(lines) and lines[at][0] == indent and not lines[at][1].startswith("- "):
+            k, _, v = lines[at][1].partition(":")
+            at += 1
+            if v.strip():
+                out[k.strip()] = scalar(v)
+            elif at < len(lines) and (lines[at][0] > indent or lines[at][1].startswith("- ")):
+                out[k.strip()], at = block(at, lines[at][0])
+            else:
+                out[k.strip()] = None
+        return out, at
+
+    return block(0, lines[0][0])[0] if lines else {}
+
+
+def parse_kalibr(text: str, cam0_at_reference: bool = True) -> dict[str, dict]:
+    """{name: model}: the chain ``T_cn_cnm1`` composes camera after camera."""
+    d, out, rt = parse_yaml(text), {}, [0.0] * 6
+    for name in sorted((n for n in d if n.startswith("cam")), key=lambda n: int(re.sub(r"\D", "", n) or 0)):
+        c = d[name]
+        if c.get("T_cn_cnm1"):
+            T = np.array(c["T_cn_cnm1"], float).reshape(4, 4)
+            rt = _rt(pose.compose_rt, _rt(pose.rt_from_Rt, [*T[:3, :3].ravel(), *T[:3, 3]]), rt)
+        kind, i = c.get("camera_model", "pinhole"), [float(x) for x in c["intrinsics"]]
+        dist, k = c.get("distortion_model", "none"), [float(x) for x in c.get("distortion_coeffs") or []]
+        if kind != "pinhole" or dist not in ("radtan", "none"):
+            raise ValueError(f"{name}: {kind} with {dist} is not supported")
+        m = "LENSMODEL_OPENCV4" if dist == "radtan" and any(k) else "LENSMODEL_PINHOLE"
+        out[name] = validate({"lensmodel": m, "intrinsics": i + (k if m.endswith("4") else []), "imagersize": [int(x) for x in c["resolution"]], "rt_cam_ref": list(rt), "icam_intrinsics": None, "valid_intrinsics_region": None})
+    return out
+
+
+def format_kalibr(models: list[dict]) -> str:
+    out, last = [], [0.0] * 6
+    for n, m in enumerate(models):
+        if m["lensmodel"] not in ("LENSMODEL_PINHOLE", "LENSMODEL_OPENCV4"):
+            raise ValueError(f"{m['lensmodel']} can't be written here")
+        k = [*m["intrinsics"][4:], 0.0, 0.0, 0.0, 0.0][:4]
+        out += [f"cam{n}:", "  camera_model: pinhole", f"  intrinsics: {[float(x) for x in m['intrinsics'][:4]]}", "  distortion_model: radtan", f"  distortion_coeffs: {[float(x) for x in k]}", f"  resolution: {[int(x) for x in m['imagersize']]}"]
+        if n:
+            Rt = np.array(_rt(pose.Rt_from_rt, _rt(pose.compose_rt, m["rt_cam_ref"], _rt(pose.invert_rt, last))))
+            T = np.vstack([np.hstack([Rt[:9].reshape(3, 3), Rt[9:, None]]), [0, 0, 0, 1]])
+            out += ["  T_cn_cnm1:"] + [f"  - {[float(x) for x in row]}" for row in T]
+        last = m["rt_cam_ref"]
+    return "\n".join(out) + "\n"
+
+
+def parse_ros(text: str) -> dict:
+    d = parse_yaml(text)
+    K = [float(x) for x in d["camera_matrix"]["data"]]
+    k = [float(x) for x in d["distortion_coefficients"]["data"]]
+    R = d.get("rectification_matrix")
+    rt = _rt(pose.rt_from_Rt, [*[float(x) for x in R["data"]], 0, 0, 0]) if R else [0.0] * 6
+    rt = _rt(pose.invert_rt, rt)
+    n = {0: 0, 4: 4, 5: 5, 8: 8, 12: 12}[len(k)] if any(k) else 0
+    return validate({"lensmodel": f"LENSMODEL_OPENCV{n}" if n else "LENSMODEL_PINHOLE", "intrinsics": [K[0], K[4], K[2], K[5], *k[:n]], "imagersize": [int(d["image_width"]), int(d["image_height"])], "rt_cam_ref": rt, "icam_intrinsics": None, "valid_intrinsics_region": None})
+
+
+PARSERS = {"native": parse_native, "cahvor": parse_cahvor, "ros": parse_ros}
+FORMATTERS = {"native": format_native, "cahvor": format_cahvor}
+
+
+def read(spark: SparkSession, path: str, form: str = "native") -> DataFrame:
+    """One row a model of all files under a path; a Kalibr file gives one row a camera."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for p, text in zip(pdf["path"], pdf["value"], strict=True):
+                found = parse_kalibr(text) if form == "kalibr" else {os.path.splitext(os.path.basename(p))[0]: PARSERS[form](text)}
+                rows += [{"path": p, "name": n, **m} for n, m in found.items()]
+            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+
+    return files.mapInPandas(run, SCHEMA)
+
+
+def write(models: DataFrame, folder: str, form: str = "native", overwrite: bool = False) -> DataFrame:
+    """Writes one file a row into a shared folder; the (lazy) table of paths written."""
+    end = {"native": "cameramodel", "cahvor": "cahvor"}[form]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for pdf in batches:
+            out = []
+            for m in pdf.to_dict("records"):
+                path = f"{base}/{m['name']}.{end}"
+                if not overwrite and fs.get_file_info(path).type != pafs.FileType.NotFound:
+                    raise FileExistsError(path)
+                with fs.open_output_stream(path + ".tmp") as f:
+                    f.write(FORMATTERS[form]({k: None if v is None or (isinstance(v, float) and np.isnan(v)) else v for k, v in m.items()}).encode())
+                fs.move(path + ".tmp", path)
+                out.append(path)
+            yield pd.DataFrame({"path": out})
+
+    return models.mapInPandas(run, "path string")
+
+
+def convert(spark: SparkSession, source: str, source_form: str, folder: str, form: str, overwrite: bool = False) -> DataFrame:
+    return write(read(spark, source, source_form), folder, form, overwrite)
