@@ -113,7 +113,8 @@ def classify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, first_id): first_id is the smallest id among equal payloads, found by digest without moving payloads twice."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     first = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    return rows.join(first, "digest").select("page_id", "url", "html", F.when(F.octet_length("html") >= min_bytes, F.col("first_id")).alias("first_id"))
+    # the digests' side is one short row each, so it is hashed; payloads stream past it unsorted
+    return rows.join(first.hint("shuffle_hash"), "digest").select("page_id", "url", "html", F.when(F.octet_length("html") >= min_bytes, F.col("first_id")).alias("first_id"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
