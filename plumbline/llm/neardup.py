@@ -144,23 +144,46 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root) of all ids in ``links`` (a, b): contraction by the least neighbour in a hashed order, on the cluster alone."""
+    """(id, root) of all ids in ``links`` (a, b): contraction by the least neighbour, on the cluster alone.
+
+    The first round takes the least id, which settles stars about their smallest member; later
+    rounds take a hashed order, so that long chains shrink by a constant factor a round.
+    """
     steps: list[DataFrame] = []
-    edges = stored(links.filter("a <> b").distinct(), "links")
-    while not edges.isEmpty():
+    edges = links.filter("a <> b")
+    while True:
+        order = (lambda c: F.col(c).cast("long")) if not steps else F.xxhash64
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy(F.col("a").alias("id")).agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("id"))).alias("near"))
-        own = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
+        near = both.groupBy(F.col("a").alias("id")).agg(F.min(F.struct(order("b").alias("h"), F.col("b").alias("id"))).alias("near"))
+        own = F.struct(order("id").alias("h"), F.col("id").alias("id"))
         to = stored(near.select("id", F.least("near", own)["id"].alias("root")), "contract")
         steps.append(to)
-        edges = edges.join(to.withColumnsRenamed({"id": "a", "root": "ra"}), "a").join(to.withColumnsRenamed({"id": "b", "root": "rb"}), "b")
+        edges = edges.join(to.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(to.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
         edges = stored(edges.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
-    if not steps:
-        return links.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0)
+        if edges.isEmpty():
+            break
     out = steps[0]
     for to in steps[1:]:
-        out = out.join(to.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-    return stored(out, "roots") if len(steps) > 1 else out
+        out = follow(out, to)
+    return out
+
+
+def follow(roots: DataFrame, further: DataFrame) -> DataFrame:
+    """(id, root) with each root replaced by its own root, where it has one."""
+    return roots.join(further.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+
+
+def joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of all links so far: those of the new links between old roots, put behind the old ones."""
+    if roots is None:
+        return stored(components(links), "roots")
+    between = links
+    for c in ("a", "b"):
+        between = between.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(c, F.coalesce(f"root_{c}", c)).drop(f"root_{c}")
+    further = components(between.filter("a <> b").distinct())
+    old = follow(roots, further)
+    # ids that had no link before are roots of their own
+    return stored(old.unionByName(further.join(roots.select("id"), "id", "left_anti")), "roots")
 
 
 def near_duplicates(docs: DataFrame, k: int, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,39 +192,41 @@ def near_duplicates(docs: DataFrame, k: int, num: int = 80, den: int = 100, id_c
     classes = stored(sig.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     rows = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(rows.join(buckets, "key").select("key", "id", "center"), "buckets")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi"), "candidates")
-
-    links, roots, turn = None, None, 0
-    center = "center"
+    # one row a document: the buckets it shares with others, and their centres
+    members = stored(rows.join(buckets, "key").groupBy("id").agg(F.collect_list(F.struct("key", "center")).alias("in")), "members")
+    texts = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "candidates")
+
+    pairs = members.select(F.explode(F.array_distinct("in.center")).alias("a"), F.col("id").alias("b")).filter("a <> b")
+    roots = joined_roots(None, stored(verify(pairs, texts, k, num, den), "verified"))
+    total = members.agg(F.sum(F.size("in"))).first()[0] or 0
+    tried, turn = [], 0
     while True:
-        apart = members.filter(F.col("id") != F.col(center))
-        if roots is not None:  # pairs within a component are settled
-            apart = apart.filter(F.col("comp") != F.col("center_comp"))
-        found = stored(verify(apart.select(F.col(center).alias("a"), F.col("id").alias("b")).distinct(), texts, k, num, den), "verified")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        # all pairs with the centre are settled; what counts now are pairs of one bucket in different components
-        members = members.filter(F.col("id") != F.col(center)).select("key", "id")
-        members = stored(members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp")), "buckets")
-        parts = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+        # pairs with a centre are settled; what still counts are pairs of one bucket in different components
+        placed = members.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("comp"), F.array_sort("in.key").alias("keys"), F.filter("in", lambda x: x["center"] != F.col("id"))["key"].alias("left"))
+        seats = placed.select(F.explode("left").alias("key"), "id", "comp", "keys")
+        for t in tried:
+            seats = seats.join(t.select("key", F.col("center").alias("id")), ["key", "id"], "left_anti")
+        parts = seats.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
         parts = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
-        open_keys = stored(parts.filter("comps > 1").select("key", F.col("most.comp").alias("most"), ((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("pairs")), "open")
-        pairs, total = open_keys.agg(F.sum("pairs")).first()[0] or 0, rows.count()
-        if not pairs:
+        parts = parts.filter("comps > 1").select("key", F.col("most.comp").alias("most"), ((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("pairs"))
+        seats = stored(seats.join(parts, "key"), "seats")
+        left = seats.select("key", "pairs").distinct().agg(F.sum("pairs")).first()[0] or 0
+        if not left:
             break
-        members = members.join(open_keys.select("key", "most"), "key")
-        if pairs <= PAIRS_PER_ROW * total:
-            few = members.filter("comp <> most").select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a"))
-            other = members.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"), "most")
-            rest = few.join(other, "key").filter("comp_a <> comp_b and (comp_b = most or a < b)").select("a", "b").distinct()
-            links = links.unionByName(stored(verify(rest, texts, k, num, den), "verified"))
-            roots = components(links)
+        if left <= PAIRS_PER_ROW * total:
+            few = seats.filter("comp <> most").select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("keys").alias("keys_a"))
+            other = seats.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("keys").alias("keys_b"), "most")
+            # a pair is made once, in the first of the buckets it shares
+            first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+            rest = few.join(other, "key").filter("comp_a <> comp_b and (comp_b = most or a < b)").filter(first).select("a", "b")
+            roots = joined_roots(roots, stored(verify(rest, texts, k, num, den), "verified"))
             break
         turn += 1
-        pick = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp"))).alias("c"))
-        members = stored(members.join(pick.select("key", F.col("c.id").alias("center"), F.col("c.comp").alias("center_comp")), "key"), "buckets")
+        pick = seats.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp"))).alias("c"))
+        pick = stored(pick.select("key", F.col("c.id").alias("center"), F.col("c.comp").alias("center_comp")), "centers")
+        tried.append(pick)
+        pairs = seats.join(pick, "key").filter("comp <> center_comp").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+        roots = joined_roots(roots, stored(verify(pairs, texts, k, num, den), "verified"))
 
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
     comp = roots.join(least, "root").select(F.col("id").alias("rep"), "component_id")
