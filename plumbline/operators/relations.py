@@ -83,9 +83,10 @@ def jt_x(j: DataFrame, x: DataFrame) -> DataFrame:
     return j.join(x, "row").groupBy("col").agg(F.sum(F.col("value") * F.col("x")).alias("value"))
 
 
-def a_jt_j_at(a: DataFrame, j: DataFrame, leading_rows: int) -> DataFrame:
-    """(i, k, value) of A J' J A' over the leading rows of J; A is an (i, col, value) table with few i."""
-    aj = a.select("i", "col", F.col("value").alias("av")).join(j.filter(F.col("row") < leading_rows), "col").groupBy("i", "row").agg(F.sum(F.col("av") * F.col("value")).alias("v"))
+def a_jt_j_at(a: DataFrame, j: DataFrame, leading_rows: int | None = None) -> DataFrame:
+    """(i, k, value) of A J' J A' over all or the leading rows of J; A is an (i, col, value) table with few i."""
+    j = j if leading_rows is None else j.filter(F.col("row") < leading_rows)
+    aj = a.select("i", "col", F.col("value").alias("av")).join(j, "col").groupBy("i", "row").agg(F.sum(F.col("av") * F.col("value")).alias("v"))
     other = aj.select(F.col("i").alias("k"), "row", F.col("v").alias("v2"))
     return aj.join(other, "row").groupBy("i", "k").agg(F.sum(F.col("v") * F.col("v2")).alias("value"))
 

@@ -157,8 +157,9 @@ def jt_x(spark, d) -> DataFrame:
 
 
 def a_jt_j_at(spark, d) -> DataFrame:
-    a = _jacobian(spark, d).filter("row < 3").withColumnRenamed("row", "i")
-    return rel.a_jt_j_at(a, _jacobian(spark, d), 400).select("i", "k", *_r("value"))
+    a = spark.range(3 * 64).select((F.col("id") % 3).alias("i"), F.floor(F.col("id") / 3).cast("int").alias("col"))
+    a = a.withColumn("value", ((F.col("i") * 7 + F.col("col")) % 5 - 2).cast("double"))
+    return rel.a_jt_j_at(a, _jacobian(spark, d)).select("i", "k", *_r("value"))
 
 
 def block_offsets(spark, d) -> DataFrame:
@@ -255,7 +256,7 @@ SQL: dict[str, str] = {
     "worst_direction": f"SELECT cam, round(sqrt((a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b)), 6) AS sigma FROM (SELECT cam, var_pop(dx) AS a, covar_pop(dx, dy) AS b, var_pop(dy) AS c FROM {_R} GROUP BY cam) t",
     "covariance_ellipse": f"SELECT cam, round(mx, 6) + 0.0 AS mean_x, round(my, 6) + 0.0 AS mean_y, round(sqrt((a + c) / 2 + d), 6) AS major, round(sqrt((a + c) / 2 - d), 6) AS minor, round(atan2(2 * b, a - c) / 2, 6) + 0.0 AS angle FROM (SELECT *, sqrt((a - c) * (a - c) / 4 + b * b) AS d FROM (SELECT cam, avg(dx) AS mx, avg(dy) AS my, var_pop(dx) AS a, covar_pop(dx, dy) AS b, var_pop(dy) AS c FROM {_R} GROUP BY cam) t) u",
     "jt_x": f"SELECT col, round(sum(value * (row % 7 - 3)), 6) + 0.0 AS value FROM {_J} j GROUP BY col",
-    "a_jt_j_at": f"WITH j AS {_J}, v AS (SELECT a.row AS i, j.row AS row, sum(a.value * j.value) AS v FROM j a JOIN j ON a.col = j.col WHERE a.row < 3 AND j.row < 400 GROUP BY 1, 2) SELECT p.i, q.i AS k, round(sum(p.v * q.v), 6) + 0.0 AS value FROM v p JOIN v q ON p.row = q.row GROUP BY 1, 2",
+    "a_jt_j_at": f"WITH j AS {_J}, a AS (SELECT k % 3 AS i, k // 3 AS col, CAST((k % 3 * 7 + k // 3) % 5 - 2 AS DOUBLE) AS value FROM range(192) t(k)), v AS (SELECT a.i, j.row AS row, sum(a.value * j.value) AS v FROM a JOIN j ON a.col = j.col GROUP BY 1, 2) SELECT p.i, q.i AS k, round(sum(p.v * q.v), 6) + 0.0 AS value FROM v p JOIN v q ON p.row = q.row GROUP BY 1, 2",
     "block_offsets": "SELECT CAST(n_nationkey AS BIGINT) AS block, length(n_name) * 6 AS size, CAST(coalesce(sum(length(n_name) * 6) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM nation",
     "sample_imager": f"SELECT CAST(i % {GRID_X} AS INTEGER) AS ix, CAST(i // {GRID_X} AS INTEGER) AS iy, round((i % {GRID_X}) * (CAST({WIDTH - 1} AS DOUBLE) / {GRID_X - 1}), 6) AS x, round((i // {GRID_X}) * (CAST({HEIGHT - 1} AS DOUBLE) / {GRID_Y - 1}), 6) AS y FROM range({GRID_X * GRID_Y}) t(i)",
     "within_region": f"SELECT frame, cam, idx, (({' + '.join(_edge(a, b) for a, b in _EDGES)}) % 2 = 1 AND NOT ({_ON})) AS inside FROM ({CORNER_SQL}) c",
