@@ -37,7 +37,7 @@ from plumbline.llm.common import mix, seeds, slices, stored
 
 COORDINATES, BANDS, ROWS = 128, 32, 4
 #: Remaining pairs across components are enumerated once there are at most this many for each row of all buckets.
-PAIRS_PER_ROW = 2
+PAIRS_PER_ROW = 8
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, bool)
