@@ -13,7 +13,7 @@ Large groups: documents with equal sets form one class, and only classes are com
 a bucket every member is compared with one centre, not with all others; links found are
 contracted to components; what can still matter are pairs of one bucket in different
 components.  Those are enumerated once they are few against the rows of all buckets, and
-until then further centres are tried.  No pair of one bucket is left out that could join
+until then more members, chosen by a hash, are compared with all others.  No pair of one bucket is left out that could join
 two components, so components are those of all confirmed links.
 
 Null or empty texts and texts without words have an empty set and are linked with nothing.
@@ -38,6 +38,8 @@ from plumbline.llm.common import mix, seeds, slices, stored
 COORDINATES, BANDS, ROWS = 128, 32, 4
 #: Remaining pairs across components are enumerated once there are at most this many for each row of all buckets.
 PAIRS_PER_ROW = 8
+#: Until then, about this many members of each bucket are compared with all others, in each turn.
+CENTERS = 8
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, bool)
@@ -208,7 +210,7 @@ def near_duplicates(docs: DataFrame, k: int, num: int = 80, den: int = 100, id_c
             seats = seats.join(t.select("key", F.col("center").alias("id")), ["key", "id"], "left_anti")
         parts = seats.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
         parts = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
-        parts = parts.filter("comps > 1").select("key", F.col("most.comp").alias("most"), ((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("pairs"))
+        parts = parts.filter("comps > 1").select("key", "n", F.col("most.comp").alias("most"), ((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("pairs"))
         seats = stored(seats.join(parts, "key"), "seats")
         left = seats.select("key", "pairs").distinct().agg(F.sum("pairs")).first()[0] or 0
         if not left:
@@ -222,10 +224,11 @@ def near_duplicates(docs: DataFrame, k: int, num: int = 80, den: int = 100, id_c
             roots = joined_roots(roots, stored(verify(rest, texts, k, num, den), "verified"))
             break
         turn += 1
-        pick = seats.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp"))).alias("c"))
-        pick = stored(pick.select("key", F.col("c.id").alias("center"), F.col("c.comp").alias("center_comp")), "centers")
-        tried.append(pick)
-        pairs = seats.join(pick, "key").filter("comp <> center_comp").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+        # about CENTERS members of each bucket, chosen by a hash; all of a bucket that has no more
+        chosen = seats.filter(F.pmod(F.xxhash64("id", F.lit(turn)), F.col("n")) < CENTERS)
+        chosen = stored(chosen.select("key", F.col("id").alias("center"), F.col("comp").alias("center_comp")), "centers")
+        tried.append(chosen)
+        pairs = seats.join(chosen, "key").filter("comp <> center_comp").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).distinct()
         roots = joined_roots(roots, stored(verify(pairs, texts, k, num, den), "verified"))
 
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
