@@ -6,8 +6,9 @@ for each substring, the list of its vectors by value.  Two codes within Hamming
 agree in some substring up to r // m differing bits, so probing every value that near in
 every substring retrieves every code within r; candidates beyond r are dropped and the rest
 reranked on the original vectors in double precision.  The radius is the one that holds
-RADIUS_QUANTILE of the true neighbours of sampled queries.  A segment with fewer than k codes
-within the radius gives its k nearest codes, so no query goes short.
+RADIUS_QUANTILE of the true neighbours of sampled queries.  A segment with fewer than k other
+ids within the radius is searched up to the distance, ties included, at which its codes hold k
+other ids, so no query goes short.
 
 Queries are written in blocks to the shared folder; each task streams all blocks past its
 segments, and keeps k rows for each query.  Nothing grows on the driver.
@@ -45,10 +46,21 @@ _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _BALL = _POP[np.arange(256)[:, None] ^ np.arange(256)[None, :]]  # Hamming distance of two bytes
 
 
+def nearest_ids(ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k ids with the least distances, the nearest row of each, in order; ties go to the smaller id."""
+    order, n = np.lexsort([ids, d]), k
+    while True:
+        first = np.unique(ids[order[:n]], return_index=True)[1]
+        if len(first) >= k or n >= len(order):
+            return order[np.sort(first)[:k]]
+        n *= 4
+
+
 class Codes:
     """Centre and rotations of vectors of one length, with the search radius."""
 
-    def __init__(self, x: np.ndarray, k: int, bits: int = BITS, seed: int = 7):
+    def __init__(self, x: np.ndarray, k: int, bits: int = BITS, seed: int = 7, ids: np.ndarray | None = None):
+        ids = np.arange(len(x)) if ids is None else ids
         rng = np.random.default_rng(seed)
         self.mean = x.mean(0)
         v, dim = (x - self.mean).astype(np.float64), x.shape[1]
@@ -70,8 +82,8 @@ class Codes:
         near = []
         for i in rng.permutation(len(x))[:SAMPLE_QUERIES]:
             d = ((x - x[i]) ** 2).sum(1)
-            d[i] = np.inf
-            top = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
+            other = np.flatnonzero(ids != ids[i])
+            top = other[nearest_ids(ids[other], d[other], k)]
             near += _POP[codes[top] ^ codes[i]].sum(1, dtype=np.int64).tolist()
         if near:
             self.radius = int(np.quantile(near, RADIUS_QUANTILE, method="higher"))
@@ -86,6 +98,7 @@ class Index:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: Codes | None):
         self.ids, self.x, self.codes = ids, x.astype(np.float64), codes
+        self.repeats = len(np.unique(ids)) < len(ids)
         if codes is not None:
             self.code = codes.encode(x)
             self.lists, self.bounds = [], []
@@ -94,8 +107,8 @@ class Index:
                 self.lists.append(order.astype(np.int32))
                 self.bounds.append(np.searchsorted(self.code[order, j], np.arange(257)))
 
-    def candidates(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Rows within the radius of a code: probe every substring's values up to radius // m bits away."""
+    def candidates(self, qid: int, q: np.ndarray, k: int) -> np.ndarray:
+        """Rows of other ids within the radius of a code: probe every substring's values up to radius // m bits away."""
         reach, hit = self.codes.radius // self.codes.m, np.zeros(len(self.ids), bool)
         for j, value in enumerate(q.tolist()):
             order, at = self.lists[j], self.bounds[j]
@@ -103,20 +116,21 @@ class Index:
                 hit[order[at[v] : at[v + 1]]] = True
         rows = np.flatnonzero(hit)
         near = _POP[self.code[rows] ^ q].sum(1, dtype=np.int16)
-        rows = rows[near <= self.codes.radius]
-        if len(rows) <= k:  # the query itself may be among them
-            far = _POP[self.code ^ q].sum(1, dtype=np.int64)
-            rows = np.argsort(far, kind="stable")[: k + 1]
+        rows = rows[(near <= self.codes.radius) & (self.ids[rows] != qid)]
+        if len(rows) < k or (self.repeats and len(np.unique(self.ids[rows])) < k):
+            rows = np.flatnonzero(self.ids != qid)
+            far = _POP[self.code[rows] ^ q].sum(1, dtype=np.int64)
+            if len(kept := nearest_ids(self.ids[rows], far, k)):
+                rows = rows[far <= far[kept[-1]]]
         return rows
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
         codes = self.codes.encode(queries) if self.codes is not None else None
         for i, (qid, q) in enumerate(zip(query_ids.tolist(), queries.astype(np.float64), strict=True)):
-            rows = self.candidates(codes[i], k) if codes is not None else np.arange(len(self.ids))
-            rows = rows[self.ids[rows] != qid]
+            rows = self.candidates(qid, codes[i], k) if codes is not None else np.flatnonzero(self.ids != qid)
             d = np.sqrt(((self.x[rows] - q) ** 2).sum(1))
             ids = self.ids[rows]
-            for j in np.lexsort([ids, d])[:k].tolist():
+            for j in nearest_ids(ids, d, k).tolist():
                 yield qid, int(ids[j]), float(d[j])
 
 
@@ -127,14 +141,15 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def fit(rows: DataFrame, k: int, sample: int = SAMPLE) -> dict[int, Codes]:
-    """Codes by vector length, learned from about ``sample`` rows chosen by a hash of the id."""
+    """Codes by vector length, learned from about ``sample`` rows chosen by a hash of the id; copies of a row count once."""
     n = rows.count()
     share = min(1.0, sample / max(n, 1))
-    picked = rows.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))).toArrow()
+    picked = rows.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))).distinct().toArrow()
     by: dict[int, list] = {}
     for i, x in sorted(zip(picked["id"].to_pylist(), picked["x"].to_pylist(), strict=True)):
-        by.setdefault(len(x), []).append(x)
-    return {d: Codes(np.asarray(v, np.float32), k) for d, v in by.items() if len(v) > 4 * k}
+        by.setdefault(len(x), []).append((i, x))
+    parts = {d: (np.array([i for i, _ in v]), np.asarray([x for _, x in v], np.float32)) for d, v in by.items()}
+    return {d: Codes(x, k, ids=ids) for d, (ids, x) in parts.items() if len(np.unique(ids)) > 4 * k}
 
 
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:

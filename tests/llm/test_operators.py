@@ -287,6 +287,35 @@ def test_nearest(spark):
     assert ann.nearest(nothing, nothing, 10).count() == 0
 
 
+@pytest.mark.parametrize("copies, radius", [(1, None), (2, None), (10, None), (10, 0)])
+def test_nearest_counts_repeated_rows_once(spark, copies, radius):
+    x = np.random.default_rng(1).standard_normal((300, 32)).astype("f4")
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * copies
+    good = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1))
+    models = ann.fit(good, 10)
+    assert list(models) == [32] and models[32].radius > 0  # copies are no neighbours of each other
+    if radius is not None:  # every query falls back on its nearest codes
+        models[32].radius = radius
+    got = ann.nearest(good.filter("id % 30 = 0"), good, 10, models).toPandas()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        assert sorted(g["rank"]) == list(range(1, 11)) and g.vec_id.nunique() == 10 and q not in set(g.vec_id)
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        hit += len({*[i for i in np.argsort(d) if i != q][:10]} & {*g.vec_id})
+    assert got["query_id"].nunique() == 10 and hit >= (95 if radius is None else 40)
+
+
+def test_fallback_takes_ties_and_other_ids_only():
+    x = np.random.default_rng(2).standard_normal((100, 8)).astype("f4")
+    codes = ann.Codes(x, 3)
+    codes.radius = 0
+    ids = np.array([0] * 5 + [1] * 5 + [2] * 5 + [3, 4])
+    index = ann.Index(ids, x[[0] * 5 + [1] * 5 + [2] * 5 + [2, 3]], codes)
+    got = list(index.search(np.array([0]), x[:1], 4))
+    assert sorted(i for _, i, _ in got) == [1, 2, 3, 4]
+    assert {2, 3} <= set(index.ids[index.candidates(1, index.code[10], 1)].tolist())
+
+
 def test_media_round_trip(spark, docs, empty, tmp_path):
     got = sorted([tuple(r) for r in media.roundtrip(docs).collect()], key=str)
     want = []
