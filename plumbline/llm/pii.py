@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 KEY = "change me"
 ROUNDS = 8
 WALK = 12
+LONG = 512
 
-_SECRET = r"(?i:\b(?:token|api[_-]?key|access[_-]?key|secret|password|passwd)\b[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9_+/=.\-]{8,512})"
+# the key word may end a longer name (client_secret, dbPassword) and stand in quotes; the whole run of the value is taken
+_SECRET = r"(?i:(?:(?<![\p{L}\p{N}])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:token|(?:api|access|secret)[_-]?key|secret|password|passwd)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9_+/=.\-]{8,}+)"
 _EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"
 _DATE = r"(?<![\d/.\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/\-])"
@@ -148,8 +150,12 @@ def iban(m: Column, key: str) -> Column:
 
 
 def letters(s: Column, kind: str, key: str) -> Column:
-    """Keyed letters and digits (hexadecimal) of the same length."""
-    return F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(s) / 64).cast("int")), lambda i: _hash(key, kind, i, s)), ""), F.lit(1), F.length(s))
+    """Keyed letters and digits (hexadecimal) of the same length; a value of over LONG characters is hashed once, so that the time stays linear."""
+    seed = F.when(F.length(s) > LONG, _hash(key, kind, s)).otherwise(s)
+    blocks = F.sequence(F.lit(0), F.floor(F.length(s) / 64).cast("int"))
+    # a lambda's variable is computed once, where an expression would be anew for each block
+    joined = F.transform(F.array(seed), lambda x: F.array_join(F.transform(blocks, lambda i: _hash(key, kind, i, x)), ""))[0]
+    return F.substring(joined, F.lit(1), F.length(s))
 
 
 def email(m: Column, key: str) -> Column:

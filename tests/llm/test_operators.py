@@ -196,6 +196,25 @@ def test_pii(spark, empty):
     assert pii.describe(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [512, 513, 800, 200_000])
+def test_long_secrets_are_replaced_whole(spark, n):
+    value = "".join(random.Random(n).choices("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz_-.+/=", k=n - 1)) + "Z"
+    rows = [f"a token={value} b", f"c token={value}", f"d token={value[:-1]}Y"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), key="k").orderBy("doc_id").collect()]
+    new = re.fullmatch(rf"a token=([0-9a-f]{{{n}}}) b", got[0])[1]
+    assert got[1] == f"c token={new}" and got[2] != f"d token={new}" and re.fullmatch(rf"d token=[0-9a-f]{{{n}}}", got[2])
+
+
+def test_secrets_of_joined_and_quoted_names(spark):
+    rows = ["access_token=Zyxwvuts9", "client_secret = Zyxwvuts9", "DB_PASSWORD=Zyxwvuts9", "SECRET_KEY='Zyxwvuts9'", '{"password": "Zyxwvuts9"}', "'my-api-key' : 'Zyxwvuts9'", "dbPassword: Zyxwvuts9", "AWS_SECRET_ACCESS_KEY=Zyxwvuts9"]
+    plain = ["tokens=Zyxwvuts9", "xtoken=Zyxwvuts9", "token=Zyx", "a secret shared by Zyxwvuts9", "password_hint=Zyxwvuts9"]
+    docs = spark.createDataFrame(list(enumerate(rows + plain)), "doc_id long, text string")
+    got = pii.pseudonymise(docs, key="k").orderBy("doc_id").collect()
+    for was, r in zip(rows, got, strict=False):
+        assert r.pii == ["secret"] and re.fullmatch(re.escape(was).replace("Zyxwvuts9", "[0-9a-f]{9}"), r.text), r.text
+    assert [r.text for r in got[len(rows) :]] == plain
+
+
 def test_feistel_is_a_permutation(spark):
     n = 1000
     got = [r[0] for r in spark.range(n).select(pii.permute(F.col("id"), F.lit(n), "t", "k")).collect()]
