@@ -440,3 +440,26 @@ def test_licenses_bridge_added_words(spark):
     text = " ".join([*passage[:9], "really", *passage[9:]])
     r = licenses.scan(spark.createDataFrame([(1, f"intro {text} end")], "doc_id long, text string")).first()
     assert r.labels == "mit" and r.base_labels == "" and r.n_base == 0 and 0.7 <= r.score <= 1
+
+
+def test_licenses_verify_spans(spark):
+    gpl = "licensed under the gnu general public license version"
+    apache, cc = licenses.PASSAGES[1][0], licenses.PASSAGES[6][0]
+    w = f"{gpl} 3".split()
+    cases = [(f"{gpl} {n}", label) for n, label in (("3", "gpl-3"), ("2", "gpl-2"), ("1", ""), ("4", ""), ("3 2 files", "gpl-3"), ("2 or later", "gpl-2"))]
+    cases += [(" ".join([*w[:i], "other", *w[i + 1 :]]), "gpl-3") for i in range(8)]
+    cases += [(" ".join([*w[:i], "other", *w[i:]]), "gpl-3") for i in range(1, 9)]
+    cases += [(" ".join([*w[:i], *w[i + 1 :]]), "gpl-3") for i in range(1, 8)]
+    cases += [(f"{gpl} 3. {gpl} 2", "gpl-2,gpl-3"), (f"{gpl} 4, and under the MIT license", "mit")]
+    cases += [(gpl.replace("general", f"{x} general") + " 3", "") for x in ("lesser", "affero")]
+    cases += [(apache, "apache-2"), (apache.replace("2 0", "1 1"), ""), (apache.replace("apache", "educational community"), ""), (apache.replace("2 0", "2"), "apache-2")]
+    cases += [(cc, "cc-by"), (cc.replace("4 0", "noncommercial 4 0"), ""), ("licensed under cc by sa 3 0", "cc-by-sa"), ("licensed under cc by nd 4 0", "")]
+    docs = spark.createDataFrame([(i, f"intro {t} end") for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = licenses.scan(docs).orderBy("doc_id").collect()
+    assert [(t, r.labels) for (t, _), r in zip(cases, got, strict=True)] == cases
+    assert got[0].score == 1.0 and abs(got[8].score - 8 / 9) < 1e-12
+
+
+def test_licenses_count_a_covered_place_once(spark):
+    r = licenses.scan(spark.createDataFrame([(1, "a a a a a a")], "doc_id long, text string"), [("x y z", "x")], [("a a a p q r s", "p")]).first()
+    assert r.labels == "" and r.score == 0.2  # "a a a" stands on four neighbouring diagonals
