@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A clause (text between sentence marks or line ends) is read as a sequence of symbols:
-insults, threats, targets, negations, reports, quotation marks.  Four transducers are
+insults, threats, targets, negations, reports, quotation marks.  Each symbol is looked up by the
+single word: insults in the lexicon, the others in fixed lists.  Three transducers are
 composed: negation turns insults and threats in its scope into denied ones, reported speech
-turns those in its scope into quoted ones, a target turns them into aimed ones, and a threat
-without a target stays a bare one.  Each output has a weight, learned by logistic regression
+turns those in its scope into quoted ones, and a target turns them into aimed ones; others stay
+bare.  Each output has a weight, learned by logistic regression
 from labelled rows on a bounded sample, as is the lexicon: words and word beginnings that
 mark toxic rows join the given seed words with weights by their log odds.  Nothing else of
 a text counts, so isolated common words don't score.
