@@ -77,8 +77,8 @@ def calibrate(spark, d) -> DataFrame:
 
 def projection_difference(spark, d) -> DataFrame:
     """(iy, ix, dx, dy) between a model and its refit in another family."""
-    to, _ = uncertainty.convert_lensmodel("LENSMODEL_OPENCV8", np.array(OPENCV8), (2000, 1600), "LENSMODEL_OPENCV4", nx=12, trials=1)
-    diff, _ = uncertainty.projection_diff([("LENSMODEL_OPENCV8", np.array(OPENCV8)), ("LENSMODEL_OPENCV4", to)], (2000, 1600), nx=12)
+    to, _ = uncertainty.convert_lensmodel("LENSMODEL_OPENCV8", np.array(OPENCV8), (2000, 1600), "LENSMODEL_OPENCV4")
+    diff, _ = uncertainty.projection_diff([("LENSMODEL_OPENCV8", np.array(OPENCV8)), ("LENSMODEL_OPENCV4", to)], (2000, 1600))
     rows = [(int(y), int(x), *[round(float(v), 4) + 0.0 for v in diff[y, x]]) for y, x in np.ndindex(diff.shape[:2])]
     return spark.createDataFrame(rows, "iy int, ix int, dx double, dy double")
 
