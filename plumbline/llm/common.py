@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where that is unset, as in tests on one machine, it is set to a temporary folder.
-    The folders of a session are deleted when the driver's Python ends.
+    Where that is unset, as in tests, a session on one machine gets a temporary folder; on a
+    cluster, where executors would not see it, that is an error.  The folders of a session are deleted when the driver's Python ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -7,20 +7,29 @@ filled for certain.  Two sets agree in a coordinate with probability equal to th
 similarity, with the concentration of t independent draws or better.
 
 Banding: BANDS bands of ROWS coordinates; at similarity 0.8 all bands differ with
-probability (1 - 0.8^4)^32 < 5e-8.  Every candidate is confirmed on the full shingle sets.
+probability (1 - 0.8^4)^32 < 5e-8.  Documents with equal sets form one class, and only
+classes are compared; a class that shares no bucket is compared with nothing.
 
-Large groups: documents with equal sets form one class, and only classes are compared.  In
-a bucket every member is compared with one centre, not with all others; links found are
-contracted to components; what can still matter are pairs of one bucket in different
-components.  Those are enumerated once they are few against the rows of all buckets, and
-until then more members, chosen by a hash, are compared with all others.  No pair of one bucket is left out that could join
-two components, so components are those of all confirmed links.
+Cells: in each bucket, pairs whose sizes and sketches (four bits of each coordinate) allow the
+threshold are joined, within a task, to trees; only the trees' edges leave the task.  A pair
+at the threshold falls under the sketches' limit with probability 1e-10.  The components of
+those edges are cells, and every link lies within one.  Buckets with equal members count once.
+
+Verification: the full shingle sets of the documents in cells are sent once to the task of their
+cell, where pairs that the sketches allow are confirmed exactly, unless they are joined
+already; where very many must be, by products of matrices.  Only trees of confirmed links
+leave the task.
+
+Large groups: a bucket or cell of over BLOCK_ROWS rows (or BLOCK_SHINGLES shingles) is dealt to
+blocks, and each pair of blocks meets in a group of its own, so no task gets it whole and no
+table holds its pairs.  No pair is left out.
 
 Null or empty texts and texts without words have an empty set and are linked with nothing.
 A row with a null id is linked with nothing: its component is null and it is kept.  Rows
 that share an id count as one document (linked if any of their texts is); each is kept if
-the id is its component's smallest.  Ties do not arise: the smallest id is unique.  An
-empty table gives an empty result.  Extra columns are not read.
+the id is its component's smallest.  Ties do not arise: the smallest id is unique.  Very long
+texts are read whole, in parts of PART bytes; their sets are as large as they are and are
+held in memory one cell block at a time.  An empty table gives an empty result.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,10 +45,14 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import mix, seeds, slices, stored
 
 COORDINATES, BANDS, ROWS = 128, 32, 4
-#: Remaining pairs across components are enumerated once there are at most this many for each row of all buckets.
-PAIRS_PER_ROW = 8
-#: Until then, about this many members of each bucket are compared with all others, in each turn.
-CENTERS = 8
+#: Groups of more rows, or of more shingles, are dealt to blocks of about this size.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 22
+#: Texts are hashed in parts of about this many bytes; a longer word is hashed by itself.
+PART = 1 << 20
+#: Groups of more rows are compared one by one, smaller ones many at a time.
+ALONE = 256
+#: Standard deviations under the expected agreement at which two sketches no longer allow the threshold.
+SIGMAS = 6.5
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, bool)
@@ -50,27 +63,41 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BIN, _VALUE = seeds(2 * COORDINATES, 2), np.uint64((1 << 56) - 1)
 _C = np.uint64(0xD6E8FEB86659FD93)
 
-_powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
+_powers: list[np.ndarray] = []
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse, at least n of each."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(max(n, 1 << 16), base, np.uint64)
+def _power() -> list[np.ndarray]:
+    """Powers of the hash's base and of its inverse, as many as a part has bytes."""
+    if not _powers:
+        for base in (_BASE, _INVERSE):
+            x = np.full(2 * PART, base, np.uint64)
             x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
+            _powers.append(np.multiply.accumulate(x))
+    return _powers
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words (runs without ASCII white space, A-Z lower-cased) of a text, in order."""
     a = np.frombuffer((text or "").encode().translate(_LOWER), np.uint8)
-    if not len(a):
-        return np.zeros(0, np.uint64)
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(a):
+        end = min(at + PART, len(a))
+        while end < len(a) and not _SPACE[a[end]]:  # a part ends at a border of words
+            more = np.flatnonzero(_SPACE[a[end : end + PART]])
+            end = end + int(more[0]) if len(more) else min(end + PART, len(a))
+        out.append(_hashes(a[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+def _hashes(a: np.ndarray) -> np.ndarray:
     space = np.concatenate([[True], _SPACE[a], [True]])
     starts, ends = np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(~space[1:-1] & space[2:]) + 1
-    power, inverse = _power(len(a))
+    long = ends - starts >= PART
+    if long.any():  # at most the last word of a part
+        whole = [int.from_bytes(hashlib.blake2b(a[i:j].tobytes(), digest_size=8).digest(), "little") for i, j in zip(starts[long], ends[long], strict=True)]
+        return np.concatenate([_hashes(a[: starts[long][0]]), np.array(whole, np.uint64)])
+    power, inverse = _power()
     h = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[a] * power[: len(a)], dtype=np.uint64)])
     return mix((h[ends] - h[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _C)
 
@@ -109,40 +136,219 @@ def band_keys(sk: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarra
     return h.view(np.int64)
 
 
+def packed(sk: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate of a sketch, sixteen to an unsigned 64-bit word."""
+    nibbles = (mix(sk) >> np.uint64(60)).reshape(-1, 16)
+    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Coordinates in which packed sketches (rows of a and b) differ."""
+    x = a ^ b
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
+
+
+def most_differing(num: int, den: int) -> int:
+    """Coordinates in which the packed sketches of sets at the threshold may differ; a sixteenth of those that differ agree by chance."""
+    p = num / den + (1 - num / den) / 16
+    return COORDINATES - int(COORDINATES * p - SIGMAS * (COORDINATES * p * (1 - p)) ** 0.5)
+
+
 def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_id, bands): set_id is a 128-bit digest of the shingle set; both are null for an empty set."""
+    """(doc_id, n_shingles, set_id, bands, sketch): set_id is a 128-bit digest of the shingle set; all but the first two are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for batch in batches for x in slices(batch)):
             rows = []
             for text in b.column("text").to_pylist():
-                s = shingles(text, k)
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(sketch(s)).tolist()) if len(s) else (0, None, None))
-            n, ids, bands = zip(*rows, strict=True)
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "bands"])
+                if len(s := shingles(text, k)):
+                    sk = sketch(s)
+                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(sk).tolist(), packed(sk).tobytes()))
+                else:
+                    rows.append((0, None, None, None))
+            n, ids, bands, sketches = zip(*rows, strict=True)
+            columns = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "set_id", "bands", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id binary, bands array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id binary, bands array<long>, sketch binary")
+
+
+# -- groups and their blocks -------------------------------------------------------------------
+def meetings(rows: DataFrame, key: str, blocks) -> DataFrame:
+    """``rows`` dealt to groups (key, lo, hi) in which every two rows of a key meet.
+
+    A key of one block is one group.  Of more blocks each pair is a group, to which the rows of both
+    are copied; two rows of the same block need only be compared in the one group where ``own`` holds.
+    """
+    b = F.greatest(blocks.cast("int"), F.lit(1))
+    rows = rows.withColumn("blocks", b).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    partners = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    rows = rows.withColumn("partner", F.explode(partners))
+    own = (F.col("blocks") == 1) | (F.col("partner") == F.pmod(F.col("block") + 1, F.col("blocks")))
+    rows = rows.withColumns({"own": own, "lo": F.least("block", "partner"), "hi": F.greatest("block", "partner")}).drop("blocks", "partner")
+    return rows.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Runs of whole groups of sorted rows with the numbers of their groups: large groups alone, small ones together."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        part = part.combine_chunks()
+        at = _borders(part, key)
+        yield from _runs(part.slice(0, at[-1]), at)
+        rest = part.slice(at[-1])
+        if rest.num_rows == 0:
+            rest = None
+    if rest is not None:
+        yield from _runs(rest, np.concatenate([_borders(rest, key), [rest.num_rows]]))
+
+
+def _borders(t: pa.Table, key: str) -> np.ndarray:
+    """Where groups begin."""
+    new = np.ones(t.num_rows, bool)
+    if t.num_rows:
+        new[1:] = False
+        for c in (key, "lo", "hi"):
+            codes = t.column(c).combine_chunks().dictionary_encode()
+            codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+            x = np.asarray(codes.indices)
+            new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _runs(t: pa.Table, at: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """``at``: where the groups of t begin, and the end of t."""
+    i = 0
+    while i < len(at) - 1:
+        j = i + 1
+        while j < len(at) - 1 and at[j + 1] - at[i] <= ALONE:
+            j += 1
+        if at[j] - at[i] > 1:
+            yield t.slice(at[i], at[j] - at[i]), np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+        i = j
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose full shingle sets have den * intersection >= num * union."""
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+def allowed(t: pa.Table, group: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of a group whose sizes and sketches allow the threshold, and in how many coordinates they differ."""
+    n, block, own = (np.asarray(t.column(c).combine_chunks()) for c in ("n_shingles", "block", "own"))
+    sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
+    most, found, d = most_differing(num, den), [], 1
+    a = np.arange(len(n) - 1)
+    while len(a := a[a + d < len(n)]) and len(a := a[group[a] == group[a + d]]):
+        b = a + d
+        fits = (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])) & ((block[a] != block[b]) | own[a])
+        x, y = a[fits], b[fits]
+        apart = differing(sk[x], sk[y])
+        near = apart <= most
+        found.append((x[near], y[near], apart[near]))
+        d += 1
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def roots_of(n: int, a: np.ndarray, b: np.ndarray, roots: np.ndarray | None = None) -> np.ndarray:
+    """The least row of each row's component, given pairs of rows."""
+    r = np.arange(n) if roots is None else roots.copy()
+    while len(a):
+        x, y = r[a], r[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(r, np.maximum(x, y), np.minimum(x, y))
+        while (r != (up := r[r])).any():
+            r = up
+    return r
+
+
+def edges(ids: pa.Array, roots: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(roots != np.arange(len(roots)))
+    return pa.record_batch([ids.take(pa.array(roots[at])), ids.take(pa.array(at))], names=["a", "b"])
+
+
+def confirmed(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, apart: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Roots of the components of those pairs (a, b) that have den * intersection >= num * union."""
+    n = len(sets)
+
+    def linked(i: int, j: int) -> bool:
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return den * both >= num * (len(sets[i]) + len(sets[j]) - both)
+
+    # every row with its most similar one first
+    order = np.lexsort([a, apart, b])
+    first = order[np.unique(b[order], return_index=True)[1]]
+    ok = np.array([linked(i, j) for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True)], bool)
+    roots = roots_of(n, a[first[ok]], b[first[ok]])
+    left = np.ones(len(a), bool)
+    left[first] = False
+    left &= roots[a] != roots[b]
+    a, b, apart = a[left], b[left], apart[left]
+    if not len(a):
+        return roots
+    lens = np.array([len(s) for s in sets])
+    one_by_one = (2e-5 + 2e-8 * (lens[a] + lens[b])).sum()
+    rows = np.unique(np.concatenate([a, b]))
+    words, column, count = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True, return_counts=True)
+    common = count > 1  # others are in no intersection
+    if len(a) > 8 * n and 1e-10 * len(rows) ** 2 * common.sum() < one_by_one:
+        place = np.cumsum(common) - 1
+        row = np.repeat(np.arange(len(rows)), lens[rows])[common[column]]
+        column = place[column[common[column]]]
+        both = np.zeros((len(rows), len(rows)))
+        step = min(1 << 23, max(256, (1 << 23) // len(rows)))  # single precision is exact up to 2^24
+        for c in range(0, int(common.sum()), step):
+            m = np.zeros((len(rows), step), np.float32)
+            here = (column >= c) & (column < c + step)
+            m[row[here], column[here] - c] = 1
+            both += m @ m.T
+        i, j = np.searchsorted(rows, a), np.searchsorted(rows, b)
+        shared = both[i, j].astype(np.int64)
+        ok = den * shared >= num * (lens[a] + lens[b] - shared)
+        return roots_of(n, a[ok], b[ok], roots)
+    parent = roots.tolist()
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    order = np.argsort(apart, kind="stable")
+    for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = find(i), find(j)
+        if x != y and linked(i, j):
+            parent[max(x, y)] = min(x, y)
+    return np.array([find(x) for x in range(n)])
+
+
+def trees(groups: DataFrame, key: str, num: int, den: int, exact: bool) -> DataFrame:
+    """Edges (a, b) of trees that join, in each group, the rows whose pairs the sketches allow or, if ``exact``, whose sets are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sa = None, None
-        for batch in batches:
-            keep = []
-            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")), strict=True):
-                if (a, ta) != last:
-                    last, sa = (a, ta), shingles(ta, k)
-                sb = shingles(tb, k)
-                both = len(np.intersect1d(sa, sb, assume_unique=True))
-                keep.append(den * both >= num * (len(sa) + len(sb) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for t, group in grouped(batches, key):
+            a, b, apart = allowed(t, group, num, den)
+            if len(a):
+                sets = [np.frombuffer(x, np.uint64) for x in t.column("words").to_pylist()] if exact else []
+                roots = confirmed(sets, a, b, apart, num, den) if exact else roots_of(len(group), a, b)
+                yield edges(t.column("id").combine_chunks(), roots)
+
+    kind = groups.schema["id"].dataType.simpleString()
+    return groups.mapInArrow(run, f"a {kind}, b {kind}")
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+
+def with_sets(texts: DataFrame, k: int) -> DataFrame:
+    """``texts`` with the shingle set (words) in place of the text."""
+    names = [c for c in texts.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for batch in batches for x in slices(batch)):
+            words = [shingles(t, k).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.record_batch([*(b.column(c) for c in names), pa.array(words, pa.binary())], names=[*names, "words"])
+
+    return texts.mapInArrow(run, ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in names) + ", words binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -154,7 +360,7 @@ def components(links: DataFrame) -> DataFrame:
     steps: list[DataFrame] = []
     edges = links.filter("a <> b")
     while True:
-        order = (lambda c: F.col(c).cast("long")) if not steps else F.xxhash64
+        order = F.col if not steps else F.xxhash64
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy(F.col("a").alias("id")).agg(F.min(F.struct(order("b").alias("h"), F.col("b").alias("id"))).alias("near"))
         own = F.struct(order("id").alias("h"), F.col("id").alias("id"))
@@ -175,65 +381,42 @@ def follow(roots: DataFrame, further: DataFrame) -> DataFrame:
     return roots.join(further.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
 
 
-def joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components of all links so far: those of the new links between old roots, put behind the old ones."""
-    if roots is None:
-        return stored(components(links), "roots")
-    between = links
-    for c in ("a", "b"):
-        between = between.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(c, F.coalesce(f"root_{c}", c)).drop(f"root_{c}")
-    further = components(between.filter("a <> b").distinct())
-    old = follow(roots, further)
-    # ids that had no link before are roots of their own
-    return stored(old.unionByName(further.join(roots.select("id"), "id", "left_anti")), "roots")
+def cells_of(classes: DataFrame, num: int, den: int) -> DataFrame | None:
+    """(id, root) of the classes that share a bucket with one that the sketches allow."""
+    rows = classes.select("id", "set_id", F.explode("bands").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stored(rows.select("id", F.xxhash64("set_id").alias("h1"), F.xxhash64("set_id", F.lit(1)).alias("h2"), "key").join(buckets.select("key"), "key"), "buckets")
+    # buckets with equal members count once
+    buckets = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h1").alias("x"), F.bit_xor("h2").alias("y"))
+    buckets = buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    members = shared.select("id", "key", "h1").join(buckets.select("key", "n"), "key")
+    sketches = classes.select("id", F.xxhash64("set_id").alias("h1"), "n_shingles", "sketch")
+    members = members.join(sketches, ["id", "h1"]).select("key", "id", "n", "n_shingles", "sketch")
+    links = stored(trees(meetings(members, "key", F.ceil(F.col("n") / BLOCK_ROWS)), "key", num, den, exact=False), "allowed")
+    return components(links)
 
 
 def near_duplicates(docs: DataFrame, k: int, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     sig = stored(signatures(docs, k, id_col, text_col), "signatures")
-    classes = stored(sig.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    rows = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # one row a document: the buckets it shares with others, and their centres
-    members = stored(rows.join(buckets, "key").groupBy("id").agg(F.collect_list(F.struct("key", "center")).alias("in")), "members")
-    texts = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "candidates")
-
-    pairs = members.select(F.explode(F.array_distinct("in.center")).alias("a"), F.col("id").alias("b")).filter("a <> b")
-    roots = joined_roots(None, stored(verify(pairs, texts, k, num, den), "verified"))
-    total = members.agg(F.sum(F.size("in"))).first()[0] or 0
-    tried, turn = [], 0
-    while True:
-        # pairs with a centre are settled; what still counts are pairs of one bucket in different components
-        placed = members.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("comp"), F.array_sort("in.key").alias("keys"), F.filter("in", lambda x: x["center"] != F.col("id"))["key"].alias("left"))
-        seats = placed.select(F.explode("left").alias("key"), "id", "comp", "keys")
-        for t in tried:
-            seats = seats.join(t.select("key", F.col("center").alias("id")), ["key", "id"], "left_anti")
-        parts = seats.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        parts = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
-        parts = parts.filter("comps > 1").select("key", "n", F.col("most.comp").alias("most"), ((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("pairs"))
-        seats = stored(seats.join(parts, "key"), "seats")
-        left = seats.select("key", "pairs").distinct().agg(F.sum("pairs")).first()[0] or 0
-        if not left:
-            break
-        if left <= PAIRS_PER_ROW * total:
-            few = seats.filter("comp <> most").select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a"), F.col("keys").alias("keys_a"))
-            other = seats.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("keys").alias("keys_b"), "most")
-            # a pair is made once, in the first of the buckets it shares
-            first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
-            rest = few.join(other, "key").filter("comp_a <> comp_b and (comp_b = most or a < b)").filter(first).select("a", "b")
-            roots = joined_roots(roots, stored(verify(rest, texts, k, num, den), "verified"))
-            break
-        turn += 1
-        # about CENTERS members of each bucket, chosen by a hash; all of a bucket that has no more
-        chosen = seats.filter(F.pmod(F.xxhash64("id", F.lit(turn)), F.col("n")) < CENTERS)
-        chosen = stored(chosen.select("key", F.col("id").alias("center"), F.col("comp").alias("center_comp")), "centers")
-        tried.append(chosen)
-        pairs = seats.join(chosen, "key").filter("comp <> center_comp").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")).distinct()
-        roots = joined_roots(roots, stored(verify(pairs, texts, k, num, den), "verified"))
-
+    named = sig.filter("set_id is not null and doc_id is not null")
+    classes = stored(named.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    cells = stored(cells_of(classes, num, den).withColumnRenamed("root", "cell"), "cells")
+    cells = cells.join(classes.select("id", "n_shingles", "sketch"), "id")
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    sizes = sizes.select("cell", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.least("n", F.ceil(F.col("total") / BLOCK_SHINGLES))).alias("n_blocks"))
+    cells = cells.join(sizes, "cell")
+    # whole texts stream past the rows of the cells, which are hashed
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(cells.hint("shuffle_hash"), "id")
+    met = meetings(with_sets(texts, k), "cell", F.col("n_blocks"))
+    links = trees(met, "cell", num, den, exact=True)
+    # an id with several texts joins their classes
+    several = named.groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo <> hi").select("doc_id")
+    own = named.join(several, "doc_id", "left_semi").join(classes.select("set_id", "id"), "set_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    roots = components(stored(links.unionByName(own), "links"))
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
     comp = roots.join(least, "root").select(F.col("id").alias("rep"), "component_id")
-    out = sig.select("doc_id", "n_shingles", "set_id").join(classes.select("set_id", "rep"), "set_id", "left")
+    out = sig.select("doc_id", "n_shingles", "set_id").join(classes.select("set_id", F.col("id").alias("rep")), "set_id", "left")
     out = out.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     out = out.join(comp, "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -129,14 +129,18 @@ def test_near_duplicates_of_a_chain_need_more_than_one_centre(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 4).collect()} == want
 
 
-def test_a_bucket_is_searched_past_its_first_centre(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "PAIRS_PER_ROW", 0)
-    rng = random.Random(3)
+@pytest.mark.parametrize("rows_a_block, shingles_a_block", [(1024, 1 << 22), (8, 1 << 22), (1024, 300)])
+@pytest.mark.parametrize("changed", [2, 4, 8])
+def test_large_groups_meet_in_blocks(spark, monkeypatch, rows_a_block, shingles_a_block, changed):
+    """Copies of one text at similarities about the threshold; whole groups, groups cut by rows and by shingles."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", rows_a_block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles_a_block)
+    rng = random.Random(changed)
     base = [f"v{i}" for i in range(120)]
     rows = []
     for i in range(40):
         v = list(base)
-        for j in rng.sample(range(120), 4):
+        for j in rng.sample(range(120), changed):
             v[j] = f"z{i}-{j}"
         rows.append((i, " ".join(v)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -144,6 +148,51 @@ def test_a_bucket_is_searched_past_its_first_centre(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 4).collect()} == want
 
 
+def test_very_many_pairs_are_confirmed_by_products():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+    sets = []
+    for i in range(60):
+        s = base.copy()
+        s[rng.choice(100, 3 + i % 12, replace=False)] = rng.integers(0, 1 << 63, 3 + i % 12).astype(np.uint64)
+        sets.append(np.unique(s))
+    a, b = np.triu_indices(60, 1)
+    ok = [80 * len(np.union1d(sets[i], sets[j])) <= 100 * len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)]
+    want = neardup.roots_of(60, a[ok], b[ok])
+    apart = rng.integers(0, 40, len(a))
+    assert 1 < len(set(want.tolist())) < 60
+    assert neardup.confirmed(sets, a, b, apart, 80, 100).tolist() == want.tolist()
+    few = rng.permutation(len(a))[:300]  # one by one
+    few.sort()
+    sub = np.array(ok)[few]
+    assert neardup.confirmed(sets, a[few], b[few], apart[few], 80, 100).tolist() == neardup.roots_of(60, a[few][sub], b[few][sub]).tolist()
+
+
+def test_near_duplicates_with_string_ids_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(80)]
+    other = [f"u{i}" for i in range(80)]
+    rows = [("a", " ".join(base)), ("b", " ".join([*base[:79], "x"])), ("b", " ".join(other)), ("c/d", " ".join(["y", *other[1:]])), ("e", " ".join(other)), ("f", None), ("", "one two")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs, 4).collect())
+    assert got == sorted([("a", "a"), ("b", "a"), ("b", "a"), ("c/d", "a"), ("e", "a"), ("f", "f"), ("", "")])
+
+
+def test_words_across_parts(monkeypatch):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("abcXYZ", k=rng.choice([1, 3, 9, 70]))) for _ in range(400)) + "  \t end"
+    words = [w.lower() for w in text.split()]
+    whole = neardup.word_hashes(text)
+    monkeypatch.setattr(neardup, "PART", 50)
+    monkeypatch.setattr(neardup, "_powers", [])
+    parts = neardup.word_hashes(text)
+    assert len(whole) == len(parts) == len(words)
+    short = [i for i, w in enumerate(words) if len(w) < 50]
+    assert whole[short].tolist() == parts[short].tolist()
+    for h in (whole, parts):
+        assert len(set(h.tolist())) == len(set(words))
+        assert {w: x for w, x in zip(words, h.tolist())} == dict(reversed([*zip(words, h.tolist())]))
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     for n in (5, 60, 800):
