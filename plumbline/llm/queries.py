@@ -27,8 +27,17 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+#: Stands in for the key where the session names none.  It is public, so pseudonyms made with it are no protection.
+PUBLIC_KEY = "public example key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The key of the pseudonyms: the session's ``spark.plumbline.pii.key``."""
+    return spark.conf.get("spark.plumbline.pii.key", PUBLIC_KEY)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.describe(table(spark, sf_dir, "documents"))
+    return pii.describe(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
