@@ -9,12 +9,14 @@ of two.  So no sequence carries padding.
 
 Nulls count as empty texts: such a document is its end mark alone.  Rows with the same or
 a null id are packed as documents of their own.  Texts of any length are cut into as many
-pieces as they need.  An empty table gives an empty result.
+pieces as they need.  Ties go to the window opened first.  An empty table gives an empty result.
+Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,6 +46,28 @@ def tokenizer(path: str):
     return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
 
 
+#: Texts with a run of white space this long go to the tokenizers library: the other one steps back over each run, which takes memory in proportion.
+LONG_RUN = 1 << 14
+_LONG_RUN = re.compile(r"\s{%d}" % LONG_RUN)
+
+
+@lru_cache(2)
+def _library(path: str):
+    import tokenizers
+
+    t = tokenizers.Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def encode(text: str, path: str) -> np.ndarray:
+    """Ids of a whole text, as the tokenizers library gives them without special tokens."""
+    if len(text) >= LONG_RUN and _LONG_RUN.search(text):
+        return np.array(_library(path).encode(text, add_special_tokens=False).ids, "<u4")
+    return tokenizer(path).encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+
 class Packer:
     """Bounded-space best-fit over pieces ``(doc, start, ids, doc_tokens)``; ``out`` gets finished windows."""
 
@@ -116,12 +140,12 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, windows: int = OP
         return pa.record_batch([pa.array(list(c), t) for c, t in zip([*columns, [part] * len(rows)], types, strict=True)], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode = TaskContext.get().partitionId(), tokenizer(path).encode_to_numpy
+        part = TaskContext.get().partitionId()
         packer, first = Packer(capacity, windows), part << 32
         end = np.array([end_id], "<u4")
         for b in (x for batch in batches for x in slices(batch)):
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = np.concatenate([encode(text or "", allowed_special="all").astype("<u4"), end])
+                ids = np.concatenate([encode(text or "", path), end])
                 packer.add(doc, ids, 0, len(ids))
             done, packer.out = packer.out, []
             yield table([*_rows(done, first)], part)
