@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import seeds, shared_dir, stored
+from plumbline.llm.common import drawn, shared_dir, stored
 from plumbline.llm.media import filesystem
 
 BITS = 256
@@ -135,21 +135,29 @@ class Index:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, x) of the vectors that take part, in single or, if they are given so, in double precision."""
     x = F.col(vector_col)
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return vectors.select(F.col(id_col).cast("long").alias("id"), x.cast("array<float>").alias("x")).filter(x.isNotNull() & F.col(id_col).isNotNull() & ~bad & F.exists(x, lambda c: c != 0))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    return vectors.select(F.col(id_col).cast("long").alias("id"), x.cast(kind).alias("x")).filter(x.isNotNull() & F.col(id_col).isNotNull() & ~bad & F.exists(x, lambda c: c != 0))
 
 
 def fit(rows: DataFrame, k: int, sample: int = SAMPLE) -> dict[int, Codes]:
-    """Codes by vector length, learned from about ``sample`` rows chosen by a hash of the id; copies of a row count once."""
-    n = rows.count()
-    share = min(1.0, sample / max(n, 1))
-    picked = rows.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))).distinct().toArrow()
+    """Codes by vector length, learned from about ``sample`` rows chosen by a hash of the id; copies of a row count once.
+
+    Every length gets an equal share of the sample, of 8 k rows at least; lengths should be few.  One with
+    no more than k other ids in its sample has no codes, and its rows are compared one by one.
+    """
+    counts = {r.d: r.n for r in rows.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return {}
+    share = F.coalesce(*[F.when(F.size("x") == d, F.lit(min(1.0, max(sample / len(counts), 8 * k) / n))) for d, n in sorted(counts.items())])
+    picked = rows.filter(drawn("id", 11) < share).distinct().toArrow()
     by: dict[int, list] = {}
     for i, x in sorted(zip(picked["id"].to_pylist(), picked["x"].to_pylist(), strict=True)):
         by.setdefault(len(x), []).append((i, x))
-    parts = {d: (np.array([i for i, _ in v]), np.asarray([x for _, x in v], np.float32)) for d, v in by.items()}
-    return {d: Codes(x, k, ids=ids) for d, (ids, x) in parts.items() if len(np.unique(ids)) > 4 * k}
+    parts = {d: (np.array([i for i, _ in v]), np.asarray([x for _, x in v], np.float64)) for d, v in by.items()}
+    return {d: Codes(x, k, ids=ids) for d, (ids, x) in parts.items() if len(np.unique(ids)) > k + 1}
 
 
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -175,7 +183,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, models: dict[int,
                 for ids, x in _matrices(b.slice(at, BLOCK)):
                     path = os.path.join(base, f"{uuid.uuid4().hex}.block")
                     with fs.open_output_stream(path) as f:
-                        f.write(np.int64([len(ids), x.shape[1]]).tobytes() + ids.astype("<i8").tobytes() + x.astype("<f4").tobytes())
+                        f.write(np.int64([len(ids), x.shape[1]]).tobytes() + ids.astype("<i8").tobytes() + x.astype("<f8").tobytes())
                     names.append(path)
         yield pa.record_batch([pa.array(names, pa.string())], names=["path"])
 
@@ -195,7 +203,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, models: dict[int,
                     data = f.read()
                 n, dim = np.frombuffer(data, "<i8", 2).tolist()
                 if dim == d:
-                    found = [*index.search(np.frombuffer(data, "<i8", n, 16), np.frombuffer(data, "<f4", n * dim, 16 + 8 * n).reshape(n, dim), k)]
+                    found = [*index.search(np.frombuffer(data, "<i8", n, 16), np.frombuffer(data, "<f8", n * dim, 16 + 8 * n).reshape(n, dim), k)]
                     columns = zip(*found, strict=True) if found else [()] * 3
                     yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 

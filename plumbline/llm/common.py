@@ -66,6 +66,11 @@ def fold_of(doc_id, k: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % k
 
 
+def drawn(column: str, seed: int):
+    """A hashed number from 0 up to 1 for each value of a column, to draw shares of rows, however small, by."""
+    return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a record batch into runs of rows of about ``size`` text bytes; a longer text forms a run alone."""
     n = batch.num_rows

@@ -8,11 +8,15 @@ to calibrate the temperature of the class probabilities.
 
 Texts that are null or have no letter get ``und`` with score 0; so does every text if there
 is nothing to learn from.  Rows are scored one by one from their text alone, so repeated rows
-get equal results and ids or extra columns do not matter.  Long texts are read whole.
+get equal results and ids or extra columns do not matter; earlier columns lang_pred and score
+are replaced.  Of equally likely languages the first in order is given.  Long texts are read
+whole.  An empty table gives an empty result.  The languages learned should be few: there is a
+row of weights and a branch of a condition for each.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import drawn, slices
 
 FEATURES = 1 << 16
 #: Labelled rows the classifier is fitted on, at most about this many.
@@ -71,17 +75,18 @@ class Model:
         self.bias = np.zeros(len(langs))
         self.temperature = 1.0
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        f, n = grams(text)
+    def vector(self, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of a text's features and their counts."""
+        f, n = found
         v = np.log1p(n) * self.idf[f]
         return f, v / max(float(np.sqrt((v * v).sum())), 1e-12)
 
     def logits(self, x: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         return x[1] @ self.w[x[0]] + self.bias
 
-    def fit(self, texts: list[str], labels: list[int]) -> None:
+    def fit(self, found: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> None:
         """Follow the regularised leader, one row at a time, then calibrate on the rows set aside."""
-        data = [(self.vector(t), y) for t, y in zip(texts, labels, strict=True)]
+        data = [(self.vector(x), y) for x, y in zip(found, labels, strict=True)]
         held, data = data[::CALIBRATION_SHARE], [d for i, d in enumerate(data) if i % CALIBRATION_SHARE] or data
         z, s = np.zeros_like(self.w), np.zeros_like(self.w)
         rng = np.random.default_rng(0)
@@ -108,7 +113,7 @@ class Model:
         self.w = self.w.astype(np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        x = self.vector(text)
+        x = self.vector(grams(text))
         if not len(x[0]) or not self.langs:
             return "und", 0.0
         p = softmax(self.logits(x).astype(np.float64) / self.temperature)
@@ -148,14 +153,24 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     model = Model(langs, idf.astype(np.float32))
     if not langs:
         return model
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20))
-    cut = F.coalesce(*[F.when(F.col("lang") == x, F.lit(int(min(1.0, sample / len(langs) / counts[x]) * (1 << 20)))) for x in langs])
-    got = rows.filter(draw < cut).toArrow()
-    picked = sorted(zip(got["doc_id"].to_pylist(), got["text"].to_pylist(), got["lang"].to_pylist(), strict=True), key=str)
-    model.fit([t for _, t, _ in picked], [langs.index(y) for _, _, y in picked])
+    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, sample / len(langs) / counts[x]))) for x in langs])
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    picked = rows.filter(drawn("doc_id", 3) < share).mapInArrow(_features, f"doc_id {kind}, digest binary, lang string, features binary, counts binary").toArrow()
+    got = sorted(zip(*(picked[c].to_pylist() for c in ("doc_id", "digest", "lang", "features", "counts")), strict=True), key=lambda r: (str(r[0]), r[1:3]))
+    model.fit([(np.frombuffer(f, np.uint16).astype(np.int64), np.frombuffer(n, np.int32)) for *_, f, n in got], [langs.index(r[2]) for r in got])
     return model
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the driver needs of each sampled row: its features, of which there are FEATURES at most, however long the text is."""
+    for b in (x for batch in batches for x in slices(batch)):
+        texts = b.column("text").to_pylist()
+        got = [grams(t) for t in texts]
+        digests = [hashlib.blake2b(t.encode(), digest_size=8).digest() for t in texts]
+        columns = [b.column("doc_id"), pa.array(digests, pa.binary()), b.column("lang"), pa.array([f.astype(np.uint16).tobytes() for f, _ in got], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in got], pa.binary())]
+        yield pa.record_batch(columns, names=["doc_id", "digest", "lang", "features", "counts"])
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` (but own earlier ones of these names), and lang_pred and score."""
     docs = docs.drop("lang_pred", "score")
