@@ -1,18 +1,21 @@
 """Media columns: payloads stored losslessly as 8-bit grey images in archives, and a data source that reads them back.
 
 Writing: each partition streams its members into ZIP archives of bounded size in a shared
-folder (members stored, since the images inside are already deflated).  An archive gets its
-final name by a rename once it is whole, so a repeated task never leaves half a file.
+folder (members stored, since the images inside are already deflated).  Every attempt of a task
+writes archives of its own names; those of the attempts that count are listed in the folder's
+manifest, so what lost or repeated attempts leave behind is never read.
 
-Reading: the ``media_archive`` data source plans byte ranges over the archives of a folder
-from file sizes alone.  A task reads the central directory of its archive, takes the members
+Reading: the ``media_archive`` data source plans byte ranges over the archives of a folder's
+manifest (all its archives if it has none) from their sizes alone.  A task reads the central directory of its archive, takes the members
 whose records begin in its range, reads each by its offset, verifies it, and streams
 batches of bounded bytes through Arrow.  A member that fails is opened and read again by
 its offset without the others; after the last attempt the task fails (whole results) unless
 ``on_error`` is ``null``, which yields the member with a null payload.
 
 Nulls count as empty payloads, and empty payloads are padded like any other.  Repeated rows
-and repeated or null ids are members of their own.  Extra columns are not read.
+and repeated or null ids are members of their own; ids of any kind come back as they were.
+A very long text is one member, held in memory whole.  No ties arise.  An empty table gives no
+archive and no row.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,6 +45,8 @@ BATCH_BYTES = 4 << 20
 ATTEMPTS = 3
 LEVEL = 1  # deflate
 
+MANIFEST = "manifest.txt"
+
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -104,8 +110,8 @@ class ArchiveWriter:
     """A ZIP file of stored members, written in order through any Arrow file system; ZIP64 is avoided by bounded sizes."""
 
     def __init__(self, fs: pafs.FileSystem, path: str):
-        self.fs, self.path, self.tmp = fs, path, f"{path}.{uuid.uuid4().hex}.tmp"
-        self.out, self.at, self.entries = fs.open_output_stream(self.tmp), 0, []
+        self.path, self.at, self.entries = path, 0, []
+        self.out = fs.open_output_stream(path)
 
     def add(self, name: str, data: bytes) -> None:
         raw = name.encode()
@@ -116,12 +122,13 @@ class ArchiveWriter:
         self.entries.append(b"PK\x01\x02" + struct.pack("<H", 20) + common + struct.pack("<HHHII", 0, 0, 0, 0, self.at) + raw)
         self.at += 30 + len(raw) + len(data)
 
-    def close(self) -> None:
+    def close(self) -> int:
+        """Ends the archive; its size."""
         directory, n = b"".join(self.entries), len(self.entries)
         # an archive holds at most 65,535 members: see write_members
         self.out.write(directory + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, n, n, len(directory), self.at, 0))
         self.out.close()
-        self.fs.move(self.tmp, self.path)
+        return self.at + len(directory) + 22
 
 
 def members(fs: pafs.FileSystem, path: str, start: int, end: int) -> list[tuple[str, int, int, int]]:
@@ -192,7 +199,12 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         fs, folder = filesystem(self.folder)
-        files = sorted((x.path, x.size) for x in fs.get_file_info(pafs.FileSelector(folder, recursive=True, allow_not_found=True)) if x.is_file and x.path.endswith(".zip"))
+        manifest = f"{folder.rstrip('/')}/{MANIFEST}"
+        if fs.get_file_info(manifest).is_file:
+            with fs.open_input_stream(manifest) as f:
+                files = [(f"{folder.rstrip('/')}/{name}", int(size)) for name, size in (x.split("\t") for x in f.read().decode().splitlines())]
+        else:
+            files = sorted((x.path, x.size) for x in fs.get_file_info(pafs.FileSelector(folder, recursive=True, allow_not_found=True)) if x.is_file and x.path.endswith(".zip"))
         return [ByteRange(p, a, min(a + self.range_bytes, n)) for p, n in files for a in range(0, n, self.range_bytes)] or [ByteRange("", 0, 0)]
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -226,24 +238,38 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
-        part, k, total, writer = TaskContext.get().partitionId(), 0, 0, None
+        stem, total, writer, made = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, None, []
+
+        def close() -> None:
+            made.append((os.path.basename(writer.path), writer.close(), len(writer.entries)))
+
         for b in (x for batch in batches for x in slices(batch)):
             for doc, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 data = (text or "").encode()
                 if writer is None:
-                    writer = ArchiveWriter(fs, os.path.join(base, f"part-{part:06d}-{k:04d}.zip"))
-                    k += 1
-                writer.add(f"{'' if doc is None else doc}/{total}.png", to_png(pad(data), len(data)))
+                    writer = ArchiveWriter(fs, os.path.join(base, f"{stem}-{len(made):04d}.zip"))
+                writer.add(f"{member_id(doc)}/{total}.png", to_png(pad(data), len(data)))
                 total += 1
                 if writer.at >= archive_bytes or len(writer.entries) >= 65_000:
-                    writer.close()
+                    close()
                     writer = None
         if writer is not None:
-            writer.close()
-        yield pa.record_batch([pa.array([total], pa.int64())], names=["members"])
+            close()
+        columns = zip(*made, strict=True) if made else [()] * 3
+        yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["name", "size", "members"])
+
+    # a row for each archive, of some tens of megabytes
+    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "name string, size long, members long").sort("name").collect()
+    fs, base = filesystem(folder)
+    fs.create_dir(base, recursive=True)
+    with fs.open_output_stream(f"{base.rstrip('/')}/{MANIFEST}", compression=None) as f:
+        f.write("".join(f"{r.name}\t{r['size']}\n" for r in made).encode())
+    return sum(r.members for r in made)
+
 
-    written = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "members long")
-    return written.agg(F.sum("members")).first()[0] or 0
+def member_id(doc) -> str:
+    """An id as the first part of a member's name; a null has no letter before it."""
+    return "" if doc is None else "i" + urllib.parse.quote(str(doc), safe="")
 
 
 def read_archives(spark, folder: str) -> DataFrame:
@@ -263,7 +289,8 @@ def digests(media: DataFrame, id_type: str = "long") -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [()] * 8
             yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, [b.column("doc_id").type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    ids = F.nullif(F.split_part("name", F.lit("/"), F.lit(1)), F.lit("")).cast(id_type).alias("doc_id")
+    first = F.split_part("name", F.lit("/"), F.lit(1))
+    ids = F.when(first != "", F.url_decode(F.substring(first, F.lit(2), F.length(first)))).cast(id_type).alias("doc_id")
     return media.select(ids, "media").mapInArrow(run, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 

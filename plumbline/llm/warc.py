@@ -3,7 +3,8 @@
 Writing: rows with equal payloads are found by their SHA-1; the row with the smallest id
 becomes a response record, every other a revisit record that names it and carries no
 payload, only the digest and the payload's length.  Each partition writes archives of
-bounded size into a shared folder; a file gets its final name by a rename.
+bounded size into a shared folder, under names of its attempt; those of the attempts that count
+are listed in a table.  Rows of a frequent digest are spread by Spark's handling of skewed joins.
 
 Reading: each task reads whole archives from front to end through an incremental zlib
 decompressor, one gzip member at a time, frames the block by its Content-Length, and
@@ -11,7 +12,8 @@ verifies block and payload digests; damage raises ValueError.
 
 Nulls count as empty payloads.  Rows that share the smallest id of a group are all responses;
 a null id sorts last, so it is a response only where all ids of a group are null.  Payloads
-under ``min_bytes`` are never made revisits.  An empty table gives no archive and no row.
+under ``min_bytes`` are never made revisits.  A very long payload is one record, held in memory
+whole.  An empty table gives no archive and no row.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,6 +45,17 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+NO_ID = "<urn:page>"
+
+
+def urn(page_id) -> str:
+    return NO_ID if page_id is None else f"<urn:page:{urllib.parse.quote(str(page_id), safe='')}>"
+
+
+def from_urn(name: str) -> str | None:
+    return None if name == NO_ID else urllib.parse.unquote(name.removeprefix("<urn:page:").removesuffix(">"))
+
+
 def record(kind: str, page_id, uri: str | None, payload: bytes, refers_to=None, date: str = DATE) -> bytes:
     """One record as a gzip member.  A revisit keeps the response's header, but not its payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -49,7 +63,7 @@ def record(kind: str, page_id, uri: str | None, payload: bytes, refers_to=None,
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {urn(page_id)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {' '.join((uri or '').split())}",
         f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}",
@@ -58,7 +72,7 @@ def record(kind: str, page_id, uri: str | None, payload: bytes, refers_to=None,
         f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        head[5:5] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head[5:5] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to)}"]
     raw = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return z.compress(raw) + z.flush()
@@ -104,9 +118,7 @@ def read_record(raw: bytes) -> dict:
     n = int(next(x.split(b":")[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")))
     if kind == "response" and (len(payload) != n or sha1_base32(payload) != digest):
         raise ValueError("the payload's digest differs")
-    own = headers["warc-record-id"].removeprefix("<urn:page:").removesuffix(">")
-    refers = headers.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
-    return {"page_id": own or None, "url": headers["warc-target-uri"], "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": refers or None, "payload": payload if kind == "response" else None}
+    return {"page_id": from_urn(headers["warc-record-id"]), "url": headers["warc-target-uri"], "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": from_urn(headers.get("warc-refers-to", NO_ID)), "payload": payload if kind == "response" else None}
 
 
 def classify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -125,26 +137,22 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
         fs.create_dir(base, recursive=True)
         part, out, made, size, path = TaskContext.get().partitionId(), None, [], 0, ""
 
-        def close() -> None:
-            out.close()
-            fs.move(path + tmp, path)
-
-        tmp = f".{uuid.uuid4().hex}.tmp"
+        attempt = uuid.uuid4().hex  # other attempts write archives of other names, and only those of the one that counts are listed
         for b in (x for batch in batches for x in slices(batch, "html")):
             for page, url, html, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id")), strict=True):
                 if out is None:
-                    path = os.path.join(base, f"part-{part:06d}-{len(made):04d}.warc.gz")
-                    out, size = fs.open_output_stream(path + tmp, compression=None), 0
+                    path = os.path.join(base, f"part-{part:06d}-{attempt}-{len(made):04d}.warc.gz")
+                    out, size = fs.open_output_stream(path, compression=None), 0
                     made.append([path, 0])
                 again = first is not None and page != first
                 raw = record("revisit" if again else "response", page, url, html.encode(), first)
                 out.write(raw)
                 size, made[-1][1] = size + len(raw), made[-1][1] + 1
                 if size >= archive_bytes:
-                    close()
+                    out.close()
                     out = None
         if out is not None:
-            close()
+            out.close()
         yield pa.record_batch([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], names=["path", "records"])
 
     return stored(classify(pages, min_bytes).mapInArrow(run, "path string, records long"), "warc-list")
@@ -181,9 +189,3 @@ def roundtrip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     back = read_archives(paths, folder, payloads=False)
     return back.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
-
-
-# kept for those who list a folder instead of a table of paths
-def archives(folder: str) -> list[str]:
-    fs, base = filesystem(folder)
-    return sorted(x.path for x in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if x.path.endswith(".warc.gz"))
