@@ -1,5 +1,6 @@
 """Each operator against brute force on a small fixture with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -8,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from plumbline.llm import ann, bpe, langid, licenses, media, neardup, packing, pii, toxicity, warc
@@ -222,52 +224,183 @@ def test_language(spark, empty):
     assert (model.w == 0).mean() > 0.5  # sparse
 
 
-def test_pii(spark, empty):
-    rows = ["card 4012-8888 8888 1881 and 4012888888881881.", "ip 10.0.0.1, mail a.b@c.example.com! +1 (017) 555-7713", 'token = "0123456789abcdef0123"', "born 2001-02-03, 12/31/1999 or 31.12.1999; not 2001-02-31", "ssn 078-05-1120 not 666-05-1120", "iban GB82 WEST 1234 5698 7654 32", "1.2.3.4.5 4012888888881882 v1.2", None, "", "plain text " * 5000, "10.0.0.1 10.0.0.1"]
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("pii", F.lit("clash"))
-    got = {r.doc_id: r for r in pii.pseudonymise(docs, key="k").collect()}
-    out = [got[i].text for i in range(len(rows))]
-    assert out[7] is None and out[8] == "" and out[9] == rows[9] and out[6] == rows[6]
+KEY = "k"
+
+
+def twin_hash(*parts):
+    return hashlib.sha256("|".join(str(p) for p in parts).encode()).hexdigest()
+
+
+def twin_permute(x, p, q, tweak):
+    a, b = divmod(x, q)
+    for i in range(1, pii.ROUNDS // 2 + 1):
+        a = (a + int(twin_hash(KEY, tweak, p, q, "a", i, b)[:14], 16)) % p
+        b = (b + int(twin_hash(KEY, tweak, p, q, "b", i, a)[:14], 16)) % q
+    return a * q + b
+
+
+def twin_shifted(c, by):
+    for first, size in ((48, 10), (97, 26), (65, 26)):
+        if first <= c < first + size:
+            return (c - first + by) % size + first
+    beyond = 0xC0 <= c <= 0xFFFF and not 0xD7C0 <= c <= 0xDFFF and not 0x2000 <= c <= 0x2BFF and not 0x3000 <= c <= 0x303F
+    return c // 64 * 64 + (c + by) % 64 if beyond else c
+
+
+def twin_scrambled(s, kind):
+    c = [ord(x) for x in s]
+    half = (len(c) + 1) // 2
+    a, b = c[:half], c[half:]
+    for i in range(1, pii.ROUNDS + 1):
+        seed = twin_hash(KEY, kind, i, ",".join(map(str, b)))
+        stream = "".join(twin_hash(seed, k) for k in range(len(a) // pii.BLOCK + 1))
+        a, b = b, [twin_shifted(x, int(stream[4 * j : 4 * j + 4], 16)) for j, x in enumerate(a)]
+    return "".join(map(chr, a + b))
+
+
+def twin_digits(n, x, tweak):
+    return str(twin_permute(int(x), 10 ** (n - n // 2), 10 ** (n // 2), tweak)).zfill(n)
+
+
+def twin_refill(layout, new):
+    new = iter(new)
+    return "".join(next(new) if c.isdigit() else c for c in layout)
+
+
+def luhn(d, odd=0):
+    return sum(int(c) if (k + odd) % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(d)))
+
+
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s)) % 97
+
+
+def twin(m):
+    """(pseudonym, kind) of a match, in plain Python."""
+    d = re.sub(r"[^0-9]", "", m)
+    if "@" in m:
+        a, _, b = m.partition("@")
+        return f"{twin_scrambled(a, 'mailbox')}@{twin_scrambled(b.lower(), 'domain')}.example", "email"
+    if regex.match(pii._SECRET, m):
+        name = re.match(r"[^=:]+[=:][ \t]*[\"']?", m)[0]
+        return name + twin_scrambled(m[len(name) :], "secret"), "secret"
+    if regex.fullmatch(pii._IP, m):
+        x = twin_permute(int.from_bytes(bytes(map(int, m.split(".")))), 1 << 16, 1 << 16, "ip")
+        return ".".join(map(str, x.to_bytes(4))), "ip"
+    if regex.fullmatch(pii._DATE, m):
+        for f in ("%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%d.%m.%Y"):
+            try:
+                day = datetime.datetime.strptime(m, f).date()
+            except ValueError:
+                continue
+            if 1900 <= day.year <= 2099:
+                first = datetime.date(1900, 1, 1)
+                return (first + datetime.timedelta(twin_permute((day - first).days, 4297, 17, "date"))).strftime(f), "date"
+            break
+    if regex.fullmatch(pii._SSN, m) and not re.match("000|666|9", m) and not re.search("-00-|-0000$", m):
+        a, g, s = map(int, m.split("-"))
+        x = twin_permute(((a - (2 if a > 666 else 1)) * 99 + g - 1) * 9999 + s - 1, 898 * 99, 9999, "ssn")
+        a = x // (99 * 9999)
+        return f"{a + (2 if a >= 665 else 1):03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}", "ssn"
+    if re.fullmatch(r"[0-9][0-9 \-]+", m) and 13 <= len(d) <= 19 and luhn(d) % 10 == 0 and d.strip("0"):
+        body = twin_digits(len(d) - 1, d[:-1], "card")
+        return twin_refill(m, body + str(-luhn(body, 1) % 10)), "card"
+    s = m.replace(" ", "")
+    if regex.fullmatch(pii._IBAN, m) and 15 <= len(s) <= 34 and mod97(s[4:] + s[:4]) == 1:
+        account = twin_scrambled(s[4:], "iban")
+        new = iter(s[:2] + f"{98 - mod97(account + s[:2] + '00'):02d}" + account)
+        return "".join(c if c == " " else next(new) for c in m), "iban"
+    if regex.fullmatch(pii._PHONE, m):
+        n = min(len(d), 10)
+        return twin_refill(m, d[: len(d) - n] + twin_digits(n, d[len(d) - n :], "phone")), "phone"
+    return m, None
+
+
+def twin_rewritten(text):
+    kinds = []
+
+    def one(found):
+        new, kind = twin(found[0])
+        if new != found[0]:
+            kinds.append(kind)
+        return new
+
+    return regex.sub(pii.ANY, one, text), kinds
+
+
+PRIVATE = [
+    "card 4012-8888 8888 1881 and 4012888888881881.",
+    "ip 10.0.0.1, mail a.b@c.example.com! +1 (017) 555-7713",
+    'token = "0123456789abcdef0123"',
+    "born 2001-02-03, 12/31/1999 or 31.12.1999; not 2001-02-31",
+    "ssn 078-05-1120 not 666-05-1120",
+    "iban GB82 WEST 1234 5698 7654 32 and DE89370400440532013000",
+    "1.2.3.4.5 4012888888881882 v1.2",
+    "plain text " * 5000,
+    "10.0.0.1 10.0.0.1",
+    "Zoë.Ünal+x@a.b.c.d.e.f.g.h.i.j.secretcorp.example.com and x@y.zz",
+    "access_token=Zyxwvuts9 client_secret = Zyxwvuts9",
+    "a@b.co A@B.co q@" + "l." * 3000 + "com",
+    "",
+]
+
+
+def test_pii_equals_its_twin(spark, docs, empty):
+    more = [r.text for r in docs.select("text").collect()]
+    rows = [*PRIVATE, None, *more]
+    given = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("pii", F.lit("clash"))
+    got = {r.doc_id: r for r in pii.pseudonymise(given, KEY).collect()}
+    for i, text in enumerate(rows):
+        if text is None:
+            assert got[i].text is None and got[i].pii is None
+        else:
+            assert (got[i].text, got[i].pii) == twin_rewritten(text), text[:200]
+    assert pii.describe(empty, KEY).count() == 0
+    out = [got[i].text for i in range(len(PRIVATE))]
     a, b = re.fullmatch(r"card (\d{4}-\d{4} \d{4} \d{4}) and (\d{16})\.", out[0]).groups()
-    assert re.sub(r"\D", "", a) == b != "4012888888881881" and sum(int(c) * 2 - 9 * (int(c) > 4) if k % 2 == 0 else int(c) for k, c in enumerate(b)) % 10 == 0
-    ip = re.match(r"ip (\d+\.\d+\.\d+\.\d+), mail [0-9a-f]{3}@d[0-9a-f]{8}\.example\.org! \+1 \(\d{3}\) \d{3}-\d{4}$", out[1])[1]
-    assert out[10] == f"{ip} {ip}" and ip != "10.0.0.1" and all(0 <= int(x) < 256 for x in ip.split("."))
-    assert re.fullmatch(r'token = "[0-9a-f]{20}"', out[2]) and out[2] != rows[2]
-    import datetime
-
-    m = re.fullmatch(r"born (\S+), (\S+) or (\S+); not 2001-02-31", out[3]).groups()
-    d = [datetime.datetime.strptime(x, f) for x, f in zip(m, ("%Y-%m-%d", "%m/%d/%Y", "%d.%m.%Y"), strict=True)]
-    assert d[1] == d[2] and d[0].date() != datetime.date(2001, 2, 3)
-    assert re.fullmatch(r"ssn \d{3}-\d{2}-\d{4} not 666-05-1120", out[4]) and "078-05-1120" not in out[4]
-    i = out[5].removeprefix("iban ").replace(" ", "")
-    assert int("".join(str(int(c, 36)) for c in i[4:] + i[:4])) % 97 == 1 and i != "GB82WEST12345698765432" and len(out[5]) == len(rows[5])
-    assert got[0].pii == ["card", "card"] and got[7].pii is None and got[8].pii == []
-    assert pii.describe(empty).count() == 0
+    assert re.sub(r"\D", "", a) == b != "4012888888881881" and luhn(b) % 10 == 0
+    assert "secretcorp" not in out[9] and "l.l.l" not in out[11]
+    for iban in re.findall(r"[A-Z]{2}\d\d[A-Z0-9 ]{11,}(?= and|$)", out[5]):
+        assert mod97(iban.replace(" ", "")[4:] + iban[:4]) == 1
+
+
+def test_a_key_is_needed(docs):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, "")
 
 
 @pytest.mark.parametrize("n", [512, 513, 800, 200_000])
 def test_long_secrets_are_replaced_whole(spark, n):
-    value = "".join(random.Random(n).choices("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz_-.+/=", k=n - 1)) + "Z"
+    value = "".join(random.Random(n).choices("GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz", k=n - 1)) + "Z"
     rows = [f"a token={value} b", f"c token={value}", f"d token={value[:-1]}Y"]
-    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), key="k").orderBy("doc_id").collect()]
-    new = re.fullmatch(rf"a token=([0-9a-f]{{{n}}}) b", got[0])[1]
-    assert got[1] == f"c token={new}" and got[2] != f"d token={new}" and re.fullmatch(rf"d token=[0-9a-f]{{{n}}}", got[2])
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+    new = re.fullmatch(rf"a token=([A-Za-z]{{{n}}}) b", got[0])[1]
+    assert got[1] == f"c token={new}" and got[2] != f"d token={new}" and new == twin_scrambled(value, "secret")
+    assert sum(a == b for a, b in zip(new, value, strict=True)) < 0.1 * n
 
 
 def test_secrets_of_joined_and_quoted_names(spark):
     rows = ["access_token=Zyxwvuts9", "client_secret = Zyxwvuts9", "DB_PASSWORD=Zyxwvuts9", "SECRET_KEY='Zyxwvuts9'", '{"password": "Zyxwvuts9"}', "'my-api-key' : 'Zyxwvuts9'", "dbPassword: Zyxwvuts9", "AWS_SECRET_ACCESS_KEY=Zyxwvuts9"]
     plain = ["tokens=Zyxwvuts9", "xtoken=Zyxwvuts9", "token=Zyx", "a secret shared by Zyxwvuts9", "password_hint=Zyxwvuts9"]
     docs = spark.createDataFrame(list(enumerate(rows + plain)), "doc_id long, text string")
-    got = pii.pseudonymise(docs, key="k").orderBy("doc_id").collect()
+    got = pii.pseudonymise(docs, KEY).orderBy("doc_id").collect()
     for was, r in zip(rows, got, strict=False):
-        assert r.pii == ["secret"] and re.fullmatch(re.escape(was).replace("Zyxwvuts9", "[0-9a-f]{9}"), r.text), r.text
+        assert r.pii == ["secret"] and re.fullmatch(re.escape(was).replace("Zyxwvuts9", "[A-Z][a-z]{7}[0-9]"), r.text) and r.text != was, r.text
     assert [r.text for r in got[len(rows) :]] == plain
 
 
-def test_feistel_is_a_permutation(spark):
-    n = 1000
-    got = [r[0] for r in spark.range(n).select(pii.permute(F.col("id"), F.lit(n), "t", "k")).collect()]
-    assert sorted(got) == list(range(n)) and got != list(range(n))
+@pytest.mark.parametrize("p, q", [(10, 100), (10, 1), (17, 59)])
+def test_feistel_is_a_permutation(spark, p, q):
+    got = [r[0] for r in spark.range(p * q).select(pii.permute(F.col("id"), p, q, "t", KEY)).collect()]
+    assert sorted(got) == list(range(p * q)) and got != list(range(p * q))
+
+
+def test_strings_are_permuted_without_collisions(spark):
+    pairs = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = spark.createDataFrame([(x,) for x in [*pairs, "a", "Ab3-é", "", "naïve\U0001d400x"]], "s string")
+    got = [r[0] for r in rows.select(pii.scrambled(F.col("s"), "t", KEY)).collect()]
+    assert len(set(got[: len(pairs)])) == 676 and all(re.fullmatch("[a-z]{2}", x) for x in got[:676])
+    assert got[676:] == [twin_scrambled("a", "t"), twin_scrambled("Ab3-é", "t"), "", twin_scrambled("naïve\U0001d400x", "t")]
 
 
 def test_packing(docs, empty):
@@ -296,6 +429,16 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 5_000_000 + "b", "a" + "\n" * 5_000_000, "x " + "\t \n" * 400_000 + "y", "a" * 300_000, "12" * 200_000, "?!" * 200_000])
+def test_long_runs_are_encoded_as_the_library_does(text):
+    import tokenizers
+
+    t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.no_truncation()
+    t.no_padding()
+    assert packing.encode(text, P.path("byte_bpe_50k.tiktoken")).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(2)
     plain = "they walk along river and talk about weather while music plays".split()
@@ -318,13 +461,43 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def best(symbols):
+    return [o for o, _ in toxicity.PATTERNS.best(symbols)[1]]
+
+
 def test_grammar():
-    assert toxicity.parse(["Y", "-", "I"]) == ["Y", "-", "Iy"]
-    assert toxicity.parse(["I", "Y"]) == ["Iy", "Y"]
-    assert toxicity.parse(["N", "-", "I"]) == ["N", "-", "In"]
-    assert toxicity.parse(["R", "-", "I"]) == ["R", "-", "Ir"]
-    assert toxicity.parse(["T", "Y"]) == ["Ty", "Y"]
-    assert toxicity.parse(['"', "I", '"', "I"]) == ['"', "Ir", '"', "I"]
+    assert best(["Y", "-", "I"]) == ["Y", "-", "Iy"]
+    assert best(["I", "-", "Y"]) == ["Iy", "-", "Y"]
+    assert best(["I", "-", "-"]) == ["I", "-", "-"]
+    assert best(["N", "-", "I"]) == ["N", "-", "In"]
+    assert best(["N", "-", "-", "-", "-", "I"])[-1] == "I"
+    assert best(["R", "-", "I"]) == ["R", "-", "Ir"]
+    assert best(["V", "-", "Y"]) == ["t", "-", "T"] and best(["Y", "-", "V"]) == ["Y", "-", "T"]
+    assert best(["V", "-", "-", "-", "-", "Y"]) == ["t", "-", "-", "-", "-", "Y"]
+    assert best(["N", "V"]) == ["N", "Tn"]
+    assert best(['"', "I", '"', "I"]) == ['"', "Ir", '"', "I"]
+    assert best([]) == []
+
+
+def test_best_path_equals_all_paths():
+    """The best path's weight against that of every path, over random clauses."""
+    rng = random.Random(4)
+
+    def all_paths(state, symbols):
+        if not symbols:
+            return [0.0] if toxicity.PATTERNS.final(state) else []
+        return [w + rest for s, _, w in toxicity.PATTERNS.arcs(state, symbols[0]) for rest in all_paths(s, symbols[1:])]
+
+    for _ in range(300):
+        symbols = rng.choices(["I", "V", "Y", "N", "R", '"', "-", "-"], k=rng.randrange(9))
+        assert toxicity.PATTERNS.best(symbols)[0] == pytest.approx(max(all_paths(toxicity.PATTERNS.start, symbols)))
+
+
+def test_clauses_carry_weights():
+    m = toxicity.Model()
+    score = {t: [round(w, 2) for w, _ in m.clauses(t)] for t in ("you idiot. he walks", "not an idiot", "she said idiot", "i will kill you", "we kill time", "plain words", "idiot")}
+    assert score == {"you idiot. he walks": [1.5], "not an idiot": [-0.5], "she said idiot": [0.0], "i will kill you": [1.5], "we kill time": [0.25], "plain words": [], "idiot": [1.0]}
+    assert m.score("i will kill you") > m.score("we kill time") and m.score("you idiot") > m.score("not an idiot")
 
 
 def test_nearest(spark):
@@ -398,6 +571,29 @@ def test_media_round_trip(spark, docs, empty, tmp_path):
     assert media.roundtrip(empty).count() == 0
 
 
+def test_archives_keep_ids_of_any_kind(spark):
+    rows = [("http://x/y", "one"), ("", "two"), (None, "three"), ("a b%+é\n", "four"), ("1", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r.doc_id, r.n_bytes) for r in media.roundtrip(docs).collect()}
+    assert got == {(i, len(t or "")) for i, t in rows}
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert {(r.page_id, r.payload_bytes) for r in warc.roundtrip(pages).collect()} == got
+
+
+def test_only_archives_of_the_manifest_are_read(spark):
+    from plumbline.llm.common import shared_dir
+
+    folder = shared_dir(spark, "media-test")
+    docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
+    assert media.write_archives(docs, folder) == 2
+    fs, base = media.filesystem(folder)
+    w = media.ArchiveWriter(fs, f"{base}/part-000000-lost-0000.zip")
+    w.add("i3/0.png", media.to_png(media.pad(b"x"), 1))
+    size = w.close()
+    assert fs.get_file_info(w.path).size == size
+    assert {r.doc_id for r in media.digests(media.read_archives(spark, folder)).collect()} == {1, 2}
+
+
 def test_media_ranges_and_retries(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i} " * 500) for i in range(50)], "doc_id long, text string")
     folder = f"file://{tmp_path}/a"
@@ -425,7 +621,7 @@ def test_media_is_a_plain_zip_of_plain_pngs(spark, tmp_path):
     media.write_archives(spark.createDataFrame([(7, "hello")], "doc_id long, text string"), f"file://{tmp_path}/b")
     with zipfile.ZipFile(next((tmp_path / "b").glob("*.zip"))) as z:
         assert z.testzip() is None
-        assert media.from_png(z.read("7/0.png")) == (b"hello" + bytes(59), 5)
+        assert media.from_png(z.read("i7/0.png")) == (b"hello" + bytes(59), 5)
 
 
 PAGES = "page_id long, url string, html string, payload string, first_id long"

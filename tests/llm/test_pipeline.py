@@ -48,3 +48,55 @@ def test_nothing_is_lost_after_that(stages):
     ids = {r.doc_id for r in stages["near_duplicates"].select("doc_id").collect()}
     assert {r.doc_id for r in stages["pii"].select("doc_id").collect()} == ids
     assert {r.doc_id for r in stages["packing"].select("doc_id").collect()} == ids
+
+
+def odd(spark, rows):
+    """Documents with a clashing extra column for every name that a stage makes up."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.withColumns({c: F.lit(9) for c in ("lang_pred", "score", "toxicity", "pii", "kept", "component_id", "ids", "part", "start", "id", "h")})
+
+
+LONG = "the cat sat on the mat and saw the dog run over the hill with a ball " * 4000
+ODD = [
+    (1, None, "en", "s", None),
+    (2, "", None, None, 0),
+    (3, "12 34", "en", "s", 5),
+    (4, LONG, "en", "s", len(LONG)),
+    (4, LONG, "en", "s", len(LONG)),
+    (5, LONG + "end", "en", "s", len(LONG) + 3),
+    (None, LONG, "en", "s", len(LONG)),
+    (6, "one two three four five six card 4012888888881881", "en", "s", 49),
+    (7, "one two three four five six card 4012888888881881", "en", "s", 49),
+]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_every_stage_on_odd_rows(spark, rows):
+    import corpus_pipeline as C
+
+    docs = odd(spark, rows)
+    out = {}
+    for name, f in C.STAGES:
+        got = f(spark, docs, SF)
+        if name != "packing":
+            assert got.columns == C.COLUMNS
+        out[name] = got.collect()
+    if not rows:
+        assert not any(out.values())
+        return
+    ids = {k: sorted((r.doc_id for r in v), key=str) for k, v in out.items()}
+    assert {1, 2, 3}.isdisjoint(ids["language"]) and ids["language"].count(4) == 2
+    assert len(out["toxicity"]) == len(rows)
+    # rows of one id stay together, one id of each group stays, and rows without an id stay
+    assert ids["near_duplicates"] == sorted([1, 2, 3, 4, 4, None, 6], key=str)
+    assert ids["pii"] == sorted((r[0] for r in rows), key=str)
+    texts = {r.text for r in out["pii"] if r.doc_id in (6, 7)}
+    assert len(texts) == 1 and "4012888888881881" not in texts.pop()
+    assert {r.n_chars for r in out["pii"] if r.doc_id == 1} == {None}
+    pieces = {}
+    for r in out["packing"]:
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert pieces.keys() == {r[0] for r in rows} and sum(r.length for r in pieces[4]) == 2 * pieces[4][0].doc_tokens
+    assert [r.length for r in pieces[1]] == [1]
