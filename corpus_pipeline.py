@@ -4,8 +4,13 @@ Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor ke
 writes each stage's rows as Parquet to the shared folder and reads them for the next.
 Models are learned from the tables of ``sf_dir``, by the folds of the single queries.
 
-Rows with a null or an empty text, or without a letter, have no language and go in the first stage.
-An empty table passes through all stages.  Extra columns of documents are dropped.
+Rows with a null or an empty text, or without a letter, have no language and go in the first stage;
+later stages pass a null text on as it is, and the last packs it as its end mark alone.  Whole texts
+are read, however long.  Rows that share an id are judged by their own texts in the first two stages,
+and stay or go together as near duplicates, each then packed by itself; rows without an id are near
+duplicates of none.  Of a group of near duplicates the smallest id stays, so there are no ties.  An
+empty table passes through all stages.  Extra columns of documents, whatever their names, are dropped.
+Pseudonyms are made with the key of the queries (``spark.plumbline.pii.key``).
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import langid, neardup, packing, pii, toxicity
 from plumbline.llm.common import fold_of, stored, table
+from plumbline.llm.queries import pii_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose language is less certain than this is rejected.
@@ -46,7 +52,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by pseudonyms; n_chars counts the new text."""
-    return pii.pseudonymise(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return pii.pseudonymise(docs.select(COLUMNS), pii_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
