@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.pose import cross, dot, norm
-from plumbline.functions.scalars import DUAL, NUMPY, SPARK, Dual, dual_inputs, jacobian, values
+from plumbline.functions.scalars import DUAL, NUMPY, SPARK, Dual, dual_inputs, jacobian, on_frame, values
 
 # Model names and their numbers of parameters.
 NUM_PARAMS = {
@@ -210,36 +210,73 @@ CLOSED = {
 
 
 # -- iterative and splined models --------------------------------------------------------------
+def entry_angle(zeta: np.ndarray, size: np.ndarray, pupil: tuple, top: float) -> np.ndarray:
+    """The least angle to the axis, up to ``top``, under which a point enters a pupil that moves along the axis; NaN where there is none.
+
+    A point at depth zeta and at a distance from the axis enters at theta if
+    zeta sin(theta) - size cos(theta) = (theta - sin(theta)) E(theta).  The difference of both sides
+    is negative at 0.  It is bracketed about the angle to a fixed pupil and narrowed by Newton's steps
+    that stay in the bracket, else by halves.
+    """
+    e0, e1, e2 = pupil
+
+    def gap(t):
+        return zeta * np.sin(t) - size * np.cos(t) - (t - np.sin(t)) * (e0 + t * t * (e1 + t * t * e2))
+
+    def slope(t):
+        return zeta * np.cos(t) + size * np.sin(t) - (1 - np.cos(t)) * (e0 + t * t * (e1 + t * t * e2)) - (t - np.sin(t)) * t * (2 * e1 + 4 * e2 * t * t)
+
+    fixed = np.arctan2(size, zeta)
+    low, high, width = np.zeros_like(fixed), np.minimum(fixed, top), np.full_like(fixed, 1e-3)
+    for _ in range(40):
+        short = gap(high) < 0
+        if not np.any(short & (high < top)):
+            break
+        low = np.where(short, high, low)
+        high = np.where(short, np.minimum(high + width, top), high)
+        width = np.where(short, width * 1.5, width)
+    found, theta = gap(high) >= 0, np.minimum(fixed, high)
+    for _ in range(80):
+        y = gap(theta)
+        low, high = np.where(y < 0, theta, low), np.where(y < 0, high, theta)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = theta - y / slope(theta)
+        following = np.where((step >= low) & (step <= high), step, (low + high) / 2)
+        if np.nanmax(np.abs(following - theta), initial=0.0) <= 1e-15:
+            break
+        theta = following
+    return np.where(found, theta, np.nan)
+
+
 def project_cahvore(m, i, p, linearity: float):
-    """The entrance pupil moves along the axis: the angle theta is found by Newton's method; nulls (NaN) where it fails."""
-    x = lambda v: v.x if isinstance(v, Dual) else np.asarray(v, float)
+    """CAHVOR with an entrance pupil that moves along the axis; NaN where no ray enters.
+
+    From the pupil on, the distance off the axis counts as chi, a sine, tangent or multiple of the
+    entry angle by ``linearity``; mu(chi^2) moves the point off the axis.
+    """
+    plain = lambda v: v.x if isinstance(v, Dual) else np.asarray(v, float)
     o = _axis(m, i[4], i[5])
     zeta = dot(p, o)
-    ll = [a - zeta * b for a, b in zip(p, o, strict=True)]
-    size = norm(m, ll)
-    theta = m.atan2(size, zeta)
-    e0, e1, e2 = i[9:12]
-    last = np.inf
-    for step in range(100):
-        s, c = m.sin(theta), m.cos(theta)
-        t2 = theta * theta
-        pupil = e0 + e1 * t2 + e2 * t2 * t2
-        slope = 2 * e1 * theta + 4 * e2 * t2 * theta
-        up = zeta * c + size * s + (c - 1) * pupil - (theta - s) * slope
-        change = m.div(zeta * s - size * c - (theta - s) * pupil, up)
-        theta = theta - change
-        last = np.abs(x(change))
-        if step and np.nanmax(last, initial=0.0) < 1e-8:
-            break
-    bad = (last >= 1e-8) | (x(theta) * abs(linearity) > np.pi / 2)
-    tiny = x(theta) <= 1e-8
-    safe = m.where(tiny, m.num(1e-3), theta)
-    chi = m.sin(safe * linearity) * (1 / linearity) if linearity < -1e-15 else m.tan(safe * linearity) * (1 / linearity) if linearity > 1e-15 else safe
-    c2 = chi * chi
-    mu = i[6] + i[7] * c2 + i[8] * c2 * c2
-    z = m.div(size, chi)
-    moved = [m.where(tiny, a, z * b + d * (mu + 1)) for a, b, d in zip(p, o, ll, strict=True)]
-    return [m.where(bad, m.num(np.nan), q) for q in project_pinhole(m, i, moved)]
+    off = [a - zeta * b for a, b in zip(p, o, strict=True)]
+    size = norm(m, off)
+    top = np.pi if linearity == 0 else min(np.pi, np.pi / 2 / abs(linearity))
+    z, r, *e = np.broadcast_arrays(plain(zeta), plain(size), *map(plain, i[9:12]))
+    theta0 = entry_angle(z, r, tuple(e), top)
+    lost, central = np.isnan(theta0), theta0 <= 1e-8
+    theta0 = np.where(lost | central, 1e-3, theta0)
+    # one step from the root changes nothing but brings in the derivatives of what it hangs on
+    sin, cos, sq = np.sin(theta0), np.cos(theta0), theta0 * theta0
+    pupil = i[9] + i[10] * sq + i[11] * (sq * sq)
+    rest = zeta * sin - size * cos - pupil * (theta0 - sin)
+    slope = plain(zeta) * cos + plain(size) * sin - (1 - cos) * plain(pupil) - (theta0 - sin) * theta0 * (2 * plain(i[10]) + 4 * plain(i[11]) * sq)
+    theta = theta0 - m.div(rest, np.where(slope == 0, np.nan, slope))
+    bend = {-1: m.sin, 0: lambda t: t, 1: m.tan}[int(np.sign(linearity)) if abs(linearity) > 1e-15 else 0]
+    chi = bend(theta * linearity) * (1 / linearity) if abs(linearity) > 1e-15 else theta
+    chi2 = chi * chi
+    mu = i[6] + chi2 * (i[7] + chi2 * i[8])
+    depth = m.div(size, chi)
+    bent = [m.where(central, a, b * depth + c * (1 + mu)) for a, b, c in zip(p, o, off, strict=True)]
+    return [m.where(lost, m.num(np.nan), q) for q in project_pinhole(m, i, bent)]
 
 
 def spline_weights(x, order: int):
@@ -280,6 +317,37 @@ def project_splined(m, model: LensModel, intrinsics: np.ndarray, p, core=None):
     return _core(m, i, u[0] + du[0], u[1] + du[1]), weights
 
 
+def splined_formula(model: LensModel, intrinsics):
+    """The projection of one splined model as a formula of a point, for column expressions and arrays; its control points are a table in it."""
+    core, at = [float(x) for x in intrinsics[:4]], tuple(float(x) for x in intrinsics[4:])
+    tables = at[0::2], at[1::2]
+    first, last = (1, 3) if model.order == 3 else (1, 2)
+
+    def cell(m, x, n):
+        k = m.floor(x if model.order == 3 else x + 0.5)
+        return m.where(k < first, m.num(first), m.where(k > n - last, m.num(n - last), k))
+
+    def formula(m, p):
+        u = stereographic_u(m, p)
+        ix, iy = (c * model.segments_per_u + (n - 1) / 2 for c, n in zip(u, (model.nx, model.ny), strict=True))
+        kx, ky = cell(m, ix, model.nx), cell(m, iy, model.ny)
+        wx, wy = spline_weights(ix - kx, model.order), spline_weights(iy - ky, model.order)
+        corner = (ky - 1) * float(model.nx) + (kx - 1)
+        moved = []
+        for c, table in zip(u, tables, strict=True):
+            total = c
+            for a, wa in enumerate(wy):
+                row = None
+                for b, wb in enumerate(wx):
+                    term = wb * m.take(table, corner + float(a * model.nx + b))
+                    row = term if row is None else row + term
+                total = total + wa * row
+            moved.append(total)
+        return _core(m, core, *moved)
+
+    return formula
+
+
 def project(p: np.ndarray, model: str | LensModel, intrinsics: np.ndarray) -> np.ndarray:
     """Pixels (..., 2) of points (..., 3); intrinsics (n) or, but for splined models, broadcast (..., n)."""
     return values(_project(NUMPY, lensmodel(model), np.asarray(intrinsics, float), _parts(p)))
@@ -356,6 +424,30 @@ def unproject(q: np.ndarray, model: str | LensModel, intrinsics: np.ndarray, nor
     return v / np.linalg.norm(v, axis=-1, keepdims=True) if normalize else v
 
 
+def unproject_with_gradients(q: np.ndarray, model: str | LensModel, intrinsics: np.ndarray, normalize: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(v, dv/dq, dv/dintrinsics), of the ray as ``unproject`` gives it or of unit length."""
+    model, q, intrinsics = lensmodel(model), np.asarray(q, float), np.asarray(intrinsics, float)
+    v = unproject(q, model, intrinsics)
+    if model.kind in CLOSED and (f := CLOSED[model.kind][1]):
+        i = np.broadcast_to(intrinsics, q.shape[:-1] + intrinsics.shape[-1:])
+        dq, di = dual_inputs(q, i)
+        j = jacobian([Dual.of(x, dq[0]) for x in f(DUAL, di, dq)])
+        vq, vi = j[..., :2], j[..., 2:]
+    else:
+        # rays by their stereographic coordinates: a pixel that stays, stays where dq/du du + dq/di di = 0
+        _, qv, qi = project_with_gradients(v, model, intrinsics)
+        u = values(stereographic_u(NUMPY, _parts(v)))
+        vu = jacobian(ray_of_u(DUAL, dual_inputs(u)[0]))
+        vq = vu @ np.linalg.inv(qv @ vu)
+        vi = -vq @ qi
+    if normalize:
+        size = np.linalg.norm(v, axis=-1)[..., None]
+        v = v / size
+        flat = (np.eye(3) - v[..., :, None] * v[..., None, :]) / size[..., None]
+        vq, vi = flat @ vq, flat @ vi
+    return v, vq, vi
+
+
 # -- Spark -----------------------------------------------------------------------------------
 def project_column(p: Column, model: str, intrinsics: Column) -> Column:
     """An expression for the closed-form models; null where the point can't be projected."""
@@ -370,22 +462,77 @@ def unproject_column(q: Column, model: str, intrinsics: Column) -> Column:
     return F.array(*f(SPARK, [intrinsics[j] for j in range(4)], [q[j] for j in range(2)]))
 
 
-def _with(df: DataFrame, source: str, model_col: str, intrinsics_col: str, out: str, kernel) -> DataFrame:
-    def run(a: pa.Array, models: pa.Array, intrinsics: pa.Array) -> pa.Array:
-        rows: list = [None] * len(a)
-        groups: dict[tuple, list[int]] = {}
-        points = a.to_pylist()
-        for k, (x, m, i) in enumerate(zip(points, models.to_pylist(), intrinsics.to_pylist(), strict=True)):
-            if x is not None and m is not None and i is not None:
-                groups.setdefault((m, tuple(i)), []).append(k)
-        for (m, i), at in groups.items():  # rows of one camera go through the kernel together
-            got = kernel(np.array([points[k] for k in at]), m, np.array(i))
-            for k, v in zip(at, got, strict=True):
-                rows[k] = v.tolist() if np.isfinite(v).all() else None
-        return pa.array(rows, pa.list_(pa.float64()))
+def with_pixels(df: DataFrame, point: list[Column], model: str, intrinsics, names: tuple[str, str] = ("qx", "qy")) -> DataFrame:
+    """One model for all rows: the pixel of a point as two columns, by generated code (CAHVORE: in Arrow batches); null where there is none."""
+    k = lensmodel(model)
+    if k.kind == "LENSMODEL_CAHVORE":
+        rows = _in_batches(df.withColumn("__p", F.array(*point)), "__p", lambda p: project(p, k, np.asarray(intrinsics, float)), "__q")
+        return rows.select(*df.columns, *[F.col("__q")[j].alias(n) for j, n in enumerate(names)])
+    formula = splined_formula(k, intrinsics) if k.nx else lambda m, p: CLOSED[k.kind][0](m, [float(x) for x in intrinsics], p)
+    return on_frame(df, formula, [point], names=list(names))
+
+
+def matrix_of(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the whole lists, one row each; which rows they are): lists that are null, hold nulls or differ from the first in length are left out."""
+    n = np.asarray(a.value_lengths().fill_null(-1)) if len(a) else np.zeros(0, int)
+    ok = n == (n.max(initial=0))
+    flat = a.flatten()
+    if flat.null_count:
+        whole = np.ones(len(a), bool)
+        row = np.repeat(np.arange(len(a)), np.maximum(n, 0))
+        whole[row[np.asarray(flat.is_null())]] = False
+        ok &= whole
+        flat = a.filter(pa.array(ok)).flatten()
+    elif not ok.all():
+        flat = a.filter(pa.array(ok)).flatten()
+    return np.asarray(flat, float).reshape(int(ok.sum()), -1), np.flatnonzero(ok)
+
+
+def lists_of(values: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
+    """``values``, one row a list, at their places among n rows; null elsewhere and where a value is not finite."""
+    good = np.isfinite(values).all(-1)
+    mask, width = np.ones(n, bool), values.shape[-1]
+    mask[at[good]] = False
+    offsets = np.zeros(n + 1, np.int32)
+    offsets[1:] = np.cumsum(~mask) * width
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[good].ravel()), mask=pa.array(mask))
+
+
+def _in_batches(df: DataFrame, source: str, kernel, out: str) -> DataFrame:
+    """``kernel`` of the arrays of a column, a batch at a time."""
+    names = df.columns
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            x, at = matrix_of(b.column(source))
+            yield pa.record_batch([*b.columns, lists_of(np.asarray(kernel(x), float) if len(x) else np.zeros((0, 1)), at, b.num_rows)], names=[*names, out])
+
+    return df.mapInArrow(run, df.withColumn(out, F.lit(None).cast("array<double>")).schema)
+
 
+def _with(df: DataFrame, source: str, model_col: str, intrinsics_col: str, out: str, kernel) -> DataFrame:
+    """A kernel of points with a model each: rows of one camera go through it together."""
     names = df.columns
 
+    def run(a: pa.Array, models: pa.Array, intrinsics: pa.Array) -> pa.Array:
+        x, at = matrix_of(a)
+        kinds = models.dictionary_encode()
+        kind, rows, found = np.asarray(kinds.indices.fill_null(-1)), [], []
+        for k, name in enumerate(kinds.dictionary.to_pylist()):
+            here = np.flatnonzero(kind == k)
+            i, whole = matrix_of(intrinsics.take(pa.array(here)))
+            here = here[whole]
+            same, camera = np.unique(i, axis=0, return_inverse=True) if len(i) and (i != i[:1]).any() else (i[:1], np.zeros(len(i), int))
+            for c, one in enumerate(same):
+                mine = np.flatnonzero(np.isin(at, here[camera == c], assume_unique=True))
+                if len(mine):
+                    rows.append(at[mine])
+                    found.append(kernel(x[mine], name, one))
+        got = np.concatenate(found) if found else np.zeros((0, 1))
+        where = np.concatenate(rows) if rows else np.zeros(0, int)
+        order = np.argsort(where, kind="stable")
+        return lists_of(got[order], where[order], len(a))
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             yield pa.record_batch([*b.columns, run(b.column(source), b.column(model_col), b.column(intrinsics_col))], names=[*names, out])
@@ -394,7 +541,7 @@ def _with(df: DataFrame, source: str, model_col: str, intrinsics_col: str, out:
 
 
 def with_projections(df: DataFrame, point: str = "p", model: str = "lensmodel", intrinsics: str = "intrinsics", out: str = "q") -> DataFrame:
-    """Any model, one camera a row: rows gain the pixel (null where it can't be found)."""
+    """Any model, one camera a row: rows gain the pixel (null where it can't be found).  Where all rows share a model, see ``with_pixels``."""
     return _with(df, point, model, intrinsics, out, project)
 
 
@@ -417,7 +564,7 @@ def splined_domain(model: str | LensModel) -> np.ndarray:
     return np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]])
 
 
-def model_resolution_deg_pixel(q: np.ndarray, model: str | LensModel, intrinsics: np.ndarray, mode: str = "max") -> np.ndarray:
+def model_resolution_deg_pixel(q: np.ndarray, model: str | LensModel, intrinsics: np.ndarray, mode: str = "mean") -> np.ndarray:
     """Degrees a pixel from the singular values of dq/dangle: mode min, max, mean or eccentricity."""
     v = unproject(q, model, intrinsics, normalize=True)
     _, dp, _ = project_with_gradients(v, model, intrinsics)
@@ -431,17 +578,21 @@ def model_resolution_deg_pixel(q: np.ndarray, model: str | LensModel, intrinsics
     return {"min": low, "max": high, "mean": (low + high) / 2, "eccentricity": high / low}[mode]
 
 
-def report_fov(model: str | LensModel, intrinsics: np.ndarray, imagersize) -> dict[str, float]:
-    """Twice the mean angle off the axis of opposite edge middles and of the corners, in degrees; pixels that don't unproject are left out."""
-    w, h = imagersize
-    m, n = (w - 1) / 2, (h - 1) / 2
-    sets = {"horizontal": [[0, n], [w - 1, n]], "vertical": [[m, 0], [m, h - 1]], "diagonal": [[0, 0], [w - 1, 0], [0, h - 1], [w - 1, h - 1]]}
+def edge_angles(model: str | LensModel, intrinsics: np.ndarray, imagersize) -> dict[str, np.ndarray]:
+    """Angles off the axis, in degrees, of the corners and of the imager's edges above and beside the centre pixel; pixels that don't unproject are left out."""
+    (w, h), (cx, cy) = imagersize, intrinsics[2:4]
+    sets = {"horizontal": [[0, cy], [w - 1, cy]], "vertical": [[cx, 0], [cx, h - 1]], "diagonal": [[0, 0], [0, h - 1], [w - 1, 0], [w - 1, h - 1]]}
     out = {}
     for k, q in sets.items():
-        v = unproject(np.array(q, float), model, intrinsics)
+        v = unproject(np.array(q, float), model, np.asarray(intrinsics, float))
         v = v[np.isfinite(v).all(-1)]
-        out[k] = float(2 * np.degrees(np.arctan2(np.hypot(v[:, 0], v[:, 1]), v[:, 2])).mean()) if len(v) else math.nan
+        out[k] = np.degrees(np.arctan2(np.hypot(v[:, 0], v[:, 1]), v[:, 2]))
     return out
 
 
+def report_fov(model: str | LensModel, intrinsics: np.ndarray, imagersize) -> dict[str, float]:
+    """Twice the mean of the edge angles across, down and to the corners."""
+    return {k: float(2 * a.mean()) if len(a) else math.nan for k, a in edge_angles(model, intrinsics, imagersize).items()}
+
+
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("cross",)]

@@ -225,13 +225,12 @@ def compose_Rt_inverted(m, a, b, inverted0: bool = False, inverted1: bool = Fals
 
 
 def R_aligned_to_vector(m, v):
-    """A rotation that takes v to the z axis: rows are two perpendiculars and the direction of v."""
-    z = [m.div(x, norm(m, v)) for x in v]
-    flat = m.abs(z[0]) < 0.9
-    helper = [m.where(flat, m.num(1), m.num(0)), m.where(flat, m.num(0), m.num(1)), m.num(0)]
-    x = cross(helper, z)
-    n = norm(m, x)
-    x = [m.div(c, n) for c in x]
+    """A rotation that takes v to the z axis: its rows are the x axis (y where v is near x) less its part along v, the third perpendicular, and v."""
+    z = scale(v, m.div(1.0, norm(m, v)))
+    by_x = m.abs(z[0]) < 0.9
+    start = [m.where(by_x, m.num(1), m.num(0)), m.where(by_x, m.num(0), m.num(1)), m.num(0)]
+    flat = sub(start, scale(z, dot(start, z)))
+    x = scale(flat, m.div(1.0, norm(m, flat)))
     return [*x, *cross(z, x), *z]
 
 

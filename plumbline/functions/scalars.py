@@ -1,8 +1,8 @@
-"""One formula, four uses: the same code over scalars runs on Spark columns, NumPy arrays, SQL text and dual numbers.
+"""One formula, three uses: the same code over scalars runs on Spark columns, NumPy arrays and dual numbers.
 
 Formulas take an object of scalar functions (``m``) and plain lists of scalars.  ``SPARK``
-builds column expressions for short formulas; ``GRAPH`` builds a graph for ``on_frame`` (columns)
-and ``as_sql`` (text); ``NUMPY`` evaluates arrays; ``DUAL`` carries exact derivatives.
+builds column expressions for short formulas; ``GRAPH`` builds a graph for ``on_frame``;
+``NUMPY`` evaluates arrays; ``DUAL`` carries exact derivatives.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ class _Spark:
     def both(a, b) -> Column:
         return a & b
 
+    @staticmethod
+    def take(table: tuple[float, ...], at: Column) -> Column:
+        return F.get(F.lit(list(table)), at.cast("int"))
+
 
 class _Numpy:
     sqrt, sin, cos, tan, abs, floor, where = (staticmethod(f) for f in (np.sqrt, np.sin, np.cos, np.tan, np.abs, np.floor, np.where))
@@ -51,6 +55,11 @@ class _Numpy:
     def both(a, b):
         return np.logical_and(a, b)
 
+    @staticmethod
+    def take(table: tuple[float, ...], at):
+        """A table's entry at a whole number."""
+        return np.take(np.asarray(table), np.nan_to_num(at).astype(np.int64))
+
 
 class Sym:
     """A node of a formula's graph; equal nodes are one object, so shared parts are found by identity."""
@@ -90,7 +99,7 @@ Sym.__neg__ = lambda self: Sym("neg", self)
 
 
 class _Graph:
-    """Builds graphs, for ``on_frame`` and ``as_sql``."""
+    """Builds graphs, for ``on_frame``."""
 
     num = staticmethod(_sym)
 
@@ -106,6 +115,10 @@ class _Graph:
     def both(a, b):
         return Sym("and", a, b)
 
+    @staticmethod
+    def take(table: tuple[float, ...], at):
+        return Sym("take", tuple(table), _sym(at))
+
 
 _CALLS = ("sqrt", "sin", "cos", "tan", "asin", "acos", "abs", "floor", "atan2")
 for _name in _CALLS:
@@ -151,6 +164,8 @@ def _column(node: Sym, names: dict[int, str], inputs: dict[str, Column]) -> Colu
         return inputs[node.args[0]]
     if node.op == "num":
         return F.lit(node.args[0])
+    if node.op == "take":
+        return _Spark.take(node.args[0], _column(node.args[1], names, inputs))
     a = [_column(x, names, inputs) for x in node.args]
     match node.op:
         case "+":
@@ -180,26 +195,6 @@ def _column(node: Sym, names: dict[int, str], inputs: dict[str, Column]) -> Colu
     return getattr(F, node.op)(*a)
 
 
-def _write(node: Sym, names: dict[int, str], inputs: dict[str, str]) -> str:
-    if id(node) in names:
-        return names[id(node)]
-    if node.op == "in":
-        return inputs[node.args[0]]
-    if node.op == "num":
-        return f"CAST({node.args[0]!r} AS DOUBLE)"
-    a = [_write(x, names, inputs) for x in node.args]
-    match node.op:
-        case "/":
-            return f"({a[0]} / nullif({a[1]}, 0))"
-        case "neg":
-            return f"(-{a[0]})"
-        case "and":
-            return f"({a[0]} AND {a[1]})"
-        case "where":
-            return f"(CASE WHEN {a[0]} THEN {a[1]} ELSE {a[2]} END)"
-    return f"{node.op}({', '.join(a)})" if node.op in _CALLS else f"({a[0]} {node.op} {a[1]})"
-
-
 def graph(formula, sizes: list[int]) -> list[Sym]:
     """A formula's outputs over inputs named ``i<argument>_<component>``."""
     out = formula(_Graph, *[[Sym("in", f"i{k}_{j}") for j in range(n)] for k, n in enumerate(sizes)])
@@ -226,19 +221,6 @@ def on_frame(df: DataFrame, formula, arguments: list[list[Column]], names: list[
     return df.select(*keep, F.array(*cols).alias(out)) if out else df.select(*keep, *[c.alias(n) for c, n in zip(cols, names, strict=True)])
 
 
-def as_sql(formula, arguments: list[list[str]], source: str, keep: list[str], wrap: str = "{}") -> str:
-    """The same as SQL text: nested queries in place of the chain of projections; outputs are named o0, o1, ..."""
-    inputs = {f"i{k}_{j}": c for k, cs in enumerate(arguments) for j, c in enumerate(cs)}
-    outputs = graph(formula, [len(cs) for cs in arguments])
-    sql = f"SELECT {', '.join([*keep, *[f'{c} AS {n}' for n, c in inputs.items()]])} FROM {source}"
-    inputs, known = {n: n for n in inputs}, {}
-    for k, group in enumerate(_levels(outputs)):
-        new = {id(n): f"t{len(known) + j}" for j, n in enumerate(group)}
-        sql = f"SELECT *, {', '.join(f'{_write(n, known, inputs)} AS {new[id(n)]}' for n in group)} FROM ({sql}) q{k}"
-        known |= new
-    return f"SELECT {', '.join([*keep, *[wrap.format(_write(o, known, inputs)) + f' AS o{i}' for i, o in enumerate(outputs)]])} FROM ({sql}) q"
-
-
 class Dual:
     """A value with derivatives: ``g`` has one more axis than ``x``, one entry a direction."""
 

@@ -74,15 +74,21 @@ def _depths(m, v0, v1, t):
     return m.div(norm(m, cross(v1, t)), n), m.div(norm(m, cross(v0, t)), n)
 
 
-def convergent(m, l0, v0, l1, v1, t):
-    """Whether turning round either ray, or both, would bring the two estimates of the point further apart."""
+def widening(m, l0, v0, l1, v1, t):
+    """By how much turning round the first ray, the second, or both brings the two estimates of the point apart (squared)."""
 
     def gap(s0, s1):
         d = sub(add(scale(v1, l1 * s1), t), scale(v0, l0 * s0))
         return dot(d, d)
 
     g = gap(1.0, 1.0)
-    return m.both(m.both(gap(-1.0, 1.0) > g, gap(1.0, -1.0) > g), gap(-1.0, -1.0) > g)
+    return [gap(-1.0, 1.0) - g, gap(1.0, -1.0) - g, gap(-1.0, -1.0) - g]
+
+
+def convergent(m, l0, v0, l1, v1, t):
+    """Whether any such turn would bring them further apart."""
+    a, b, c = widening(m, l0, v0, l1, v1, t)
+    return m.both(m.both(a > 0, b > 0), c > 0)
 
 
 def leecivera_mid2(m, v0, v1, t):
@@ -146,16 +152,24 @@ def angle_small(m, a, b):
 KNEE = 3.0
 
 
-def smooth_ramp(m, x, knee: float = KNEE):
-    """0 below 0, a parabola up to the knee, a line of slope 1 beyond."""
-    return m.where(x <= 0, m.num(0), m.where(x >= knee, x - knee / 2, x * x * (1 / (2 * knee))))
+def smooth_step(m, x, knee: float = KNEE):
+    """0 below 0, 1 beyond the knee, and between them two parabolas that meet half way."""
+    u = x * (1 / knee)
+    rest = 1 - u
+    between = m.where(u < 0.5, 2 * u * u, 1 - 2 * rest * rest)
+    return m.where(u <= 0, m.num(0), m.where(u >= 1, m.num(1), between))
 
 
 def reprojection_angle(m, v0, v1, t):
-    """Twice the angle between a ray and the triangulated midpoint, whether or not the rays converge."""
+    """Twice the angle between a ray and the triangulated midpoint.
+
+    Rays that diverge are also pulled towards their vanishing point: the angle between them is added
+    as far as turning either or both would bring them together.
+    """
     l0, l1 = _depths(m, v0, v1, t)
     p = scale(add(add(scale(v0, l0), scale(v1, l1)), t), 0.5)
-    return angle_small(m, v0, p) * 2.0
+    steps = [smooth_step(m, -w) for w in widening(m, l0, v0, l1, v1, t)]
+    return angle_small(m, v0, p) * 2.0 + angle_small(m, v0, v1) * (steps[0] + steps[1] + steps[2])
 
 
 METHODS = {"geometric": geometric, "leecivera-l1": leecivera_l1, "leecivera-linf": leecivera_linf, "leecivera-mid2": leecivera_mid2, "leecivera-wmid2": leecivera_wmid2}

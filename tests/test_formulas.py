@@ -115,6 +115,85 @@ def test_lens_models(name):
         assert np.allclose((lens.project(p, name, i + e) - lens.project(p, name, i - e)) / 2e-6, di[..., k], rtol=1e-5, atol=1e-3)
     v = lens.unproject(q, name, i, normalize=True)
     assert np.allclose(v, p / np.linalg.norm(p, axis=1, keepdims=True), atol=1e-9)
+    for unit in (True, False):
+        v, dq, di = lens.unproject_with_gradients(q, name, i, unit)
+        assert np.allclose(v, lens.unproject(q, name, i, unit), atol=1e-9)
+        for k in range(2):
+            e = np.eye(2)[k] * 1e-4
+            assert np.allclose((lens.unproject(q + e, name, i, unit) - lens.unproject(q - e, name, i, unit)) / 2e-4, dq[..., k], rtol=1e-3, atol=1e-7)
+        for k in range(0, 9 if "CAHVORE" in name else n, max(1, n // 6)):  # a pupil that moves has no unprojection
+            e = np.eye(n)[k] * 1e-5
+            assert np.allclose((lens.unproject(q, name, i + e, unit) - lens.unproject(q, name, i - e, unit)) / 2e-5, di[..., k], rtol=1e-3, atol=2e-5)
+
+
+# Published pixels of three points for each lens model, within 0.01.
+POINTS = np.array([(1.0, 2.0, 10.0), (-1.1, 0.3, 1.0), (-0.9, -1.5, 1.0)])
+CORES = [(1512.0, 1112, 500.0, 333.0), (1502.0, 1112, 500.0, 433.0), (1522.0, 1112, 500.0, 533.0)]
+OPENCV = [1512.0, 1112, 500.0, 333.0, -0.012, 0.035, -0.001, 0.002, 0.019, 0.014, -0.056, 0.050]
+BENT = [4842.918, 4842.771, 1970.528, 1085.302, -0.001, 0.002, -0.637, -0.002, 0.016]
+GOLDEN = [
+    ("LENSMODEL_PINHOLE", [(1512.0, 1112, 500.0, 333.0), (1512.0, 1112, 500.0, 433.0), (1512.0, 1112, 500.0, 533.0)], [(651.2, 555.4), (-1163.2, 766.6), (-860.8, -1135.0)]),
+    ("LENSMODEL_STEREOGRAPHIC", CORES, [(649.35582325, 552.6874014), (-813.05440267, 698.1222302), (-408.67354332, -573.48815174)]),
+    ("LENSMODEL_LATLON", CORES, [(647.79131656, 552.50386255), (-718.86844854, 757.09995546), (-204.73403533, -559.86662025)]),
+    ("LENSMODEL_LONLAT", CORES, [(650.69900257, 551.44238248), (-751.13786254, 654.42977413), (-615.34458492, -400.73749463)]),
+    ("LENSMODEL_OPENCV4", [OPENCV[:8]] * 3, [(651.27371, 555.23042), (-1223.38516, 678.01468), (-1246.7310448, -1822.799928)]),
+    ("LENSMODEL_OPENCV5", [OPENCV[:9]] * 3, [(651.2740691, 555.2309482), (-1292.8121176, 691.9401448), (-1987.550162, -2730.85863427)]),
+    ("LENSMODEL_OPENCV8", [OPENCV] * 3, [(651.1885442, 555.10514968), (-1234.45480366, 680.23499814), (-770.03274263, -1238.4871943)]),
+    ("LENSMODEL_CAHVOR", [BENT] * 3, [(2143.17840406, 1442.93419919), (-92.63813066, 1653.09646897), (-249.83199315, -2606.46477164)]),
+    ("LENSMODEL_CAHVORE_linearity=0.00", [[*BENT, 1e-8, 2e-8, 3e-8]] * 3, [(2140.340769278752759, 1437.371480086463635), (496.634661939782575, 1493.316705796434917), (970.117888562484495, -568.301135889864668)]),
+    ("LENSMODEL_CAHVORE_linearity=0.00", [[*BENT, 1e-2, 2e-2, 3e-2]] * 3, [(2140.342263050081783, 1437.374408380910836), (491.682975341940221, 1494.659342555658441), (962.730552352575160, -580.643118338666000)]),
+    ("LENSMODEL_CAHVORE_linearity=0.40", [[*BENT, 1e-2, 2e-2, 3e-2]] * 3, [(2140.788976358770469, 1438.250116781426641), (426.278593220184689, 1512.393568241352796), (882.926242407330619, -713.971745152981612)]),
+]
+
+
+@pytest.mark.parametrize("name, intrinsics, pixels", GOLDEN)
+def test_published_pixels(name, intrinsics, pixels):
+    got = np.array([lens.project(p, name, np.array(i, float)) for p, i in zip(POINTS, intrinsics, strict=True)])
+    assert np.abs(got - pixels).max() < 1e-2
+
+
+def test_cahvore_where_no_ray_enters():
+    i = np.array([*BENT, 0.0, 0.0, 0.0])
+    got = lens.project(np.array([[0.0, 0.0, 1.0], [3.0, 0.0, -1.0], [0.1, 0.2, 1.0]]), lens.LensModel("LENSMODEL_CAHVORE", linearity=1.0), i)
+    assert np.isfinite(got[[0, 2]]).all() and np.isnan(got[1]).all()
+    zeta, size, pupil = np.array([1.0, 2.0, 0.5]), np.array([0.3, 0.0, 1.5]), (0.01, 0.02, 0.03)
+    t = lens.entry_angle(zeta, size, pupil, math.pi)
+    assert np.allclose(zeta * np.sin(t) - size * np.cos(t), (t - np.sin(t)) * (0.01 + 0.02 * t**2 + 0.03 * t**4), atol=1e-12)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_splines_as_columns_equal_arrays(spark, order):
+    name = f"LENSMODEL_SPLINED_STEREOGRAPHIC_order={order}_Nx=11_Ny=8_fov_x_deg=120"
+    i = np.array([1500, 1490, 1000, 800, *(np.random.default_rng(5).standard_normal(176) * 0.01)])
+    p = np.random.default_rng(6).standard_normal((200, 3))
+    df = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(p)] + [(200, 0.0, 0.0, -1.0), (201, None, 1.0, 1.0)], "k int, x double, y double, z double")
+    got = lens.with_pixels(df, [F.col(c) for c in "xyz"], name, i).orderBy("k").collect()
+    assert np.allclose([(r.qx, r.qy) for r in got[:200]], lens.project(p, name, i), rtol=1e-12, atol=1e-9)
+    assert got[200].qx is None and got[201].qy is None
+
+
+def test_projections_with_a_model_a_row(spark):
+    rows = [(0, [0.1, 0.2, 1.0], "LENSMODEL_PINHOLE", [500.0, 510.0, 320.0, 240.0]), (1, [0.1, 0.2, 1.0], "LENSMODEL_PINHOLE", [600.0, 510.0, 320.0, 240.0]), (2, None, "LENSMODEL_PINHOLE", [500.0, 510.0, 320.0, 240.0]), (3, [0.3, -0.2, 2.0], "LENSMODEL_OPENCV4", [500.0, 510.0, 320.0, 240.0, 0.1, 0.0, 0.0, 0.0]), (4, [0.1, None, 1.0], "LENSMODEL_PINHOLE", [500.0, 510.0, 320.0, 240.0]), (5, [0.1, 0.2, 1.0], None, None)]
+    df = spark.createDataFrame(rows, "k int, p array<double>, lensmodel string, intrinsics array<double>").coalesce(1)
+    got = {r.k: r.q for r in lens.with_projections(df).collect()}
+    assert got[2] is got[4] is got[5] is None
+    for k in (0, 1, 3):
+        assert np.allclose(got[k], lens.project(np.array(rows[k][1]), rows[k][2], np.array(rows[k][3])))
+
+
+def test_an_aligned_rotation_leaves_the_z_axis():
+    R = on_arrays(pose.R_aligned_to_vector)(np.array([[0.0, 0.0, 1.0], [0.0, 0.0, 5.0], [2.0, 0.0, 0.0]])).reshape(3, 3, 3)
+    assert np.allclose(R[:2], np.eye(3)) and np.allclose(R[2], [[0, 1, 0], [0, 0, 1], [1, 0, 0]])
+
+
+def test_divergent_rays_cost_more():
+    t = np.array([1.0, 0.0, 0.0])
+    f = lambda a, b: float(on_arrays(triangulation.reprojection_angle)(np.array(a), np.array(b), t))
+    assert f([0.2, 0.0, 1.0], [-0.2, 0.0, 1.0]) < 1e-7
+    small, large = f([-0.01, 0.0, 1.0], [0.01, 0.0, 1.0]), f([-0.4, 0.0, 1.0], [0.4, 0.0, 1.0])
+    assert large > 0.7 and small < large
+    x = np.array([-1.0, 0.0, 0.75, 1.5, 2.25, 3.0, 9.0])
+    assert triangulation.smooth_step(NUMPY, x).tolist() == [0, 0, 0.125, 0.5, 0.875, 1, 1]
 
 
 def test_lens_names():
