@@ -32,8 +32,8 @@ def align_procrustes_points_Rt01(p0: np.ndarray, p1: np.ndarray, weights: np.nda
     return np.vstack([R, c0 - R @ c1])
 
 
-def align_groups(pairs: DataFrame, keys: list[str], p0: str, p1: str, weight: str | None = None) -> DataFrame:
-    """(keys, n, Rt01: 12 numbers) per group of point pairs.
+def align_groups(pairs: DataFrame, keys: list[str], p0: str, p1: str, weight: str | None = None, vectors: bool = False) -> DataFrame:
+    """(keys, n, Rt01: 12 numbers) per group of point pairs; of ``vectors``, only turned, about the origin.
 
     The moments are sums that combine on the map side; only 3x3 matrices reach Python.  The
     weighted cross-covariance about unweighted centroids expands into weighted sums.
@@ -52,7 +52,7 @@ def align_groups(pairs: DataFrame, keys: list[str], p0: str, p1: str, weight: st
             for r in pdf.to_dict("records"):
                 g = lambda p: np.array([r[f"{p}{i}"] for i in range(3)])  # noqa: E731, B023
                 M = np.array([[r[f"m{i}{j}"] for j in range(3)] for i in range(3)])
-                c0, c1 = g("a") / r["n"], g("b") / r["n"]
+                c0, c1 = (np.zeros(3), np.zeros(3)) if vectors else (g("a") / r["n"], g("b") / r["n"])
                 R = rotation_of(M - np.outer(g("wa"), c1) - np.outer(c0, g("wb")) + r["w"] * np.outer(c0, c1))
                 rows.append([*R.ravel().tolist(), *(c0 - R @ c1).tolist()])
             yield pd.concat([pdf[[*keys, "n"]].reset_index(drop=True), pd.Series(rows, name="Rt01", dtype=object)], axis=1)

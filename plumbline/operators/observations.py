@@ -48,6 +48,24 @@ def board_residuals(seen: DataFrame, frames: DataFrame, cameras: DataFrame, spac
     return rows.select(*seen.columns, F.when(valid, F.col("w") * (F.col("px") - F.col("x"))).otherwise(0.0).alias("dx"), F.when(valid, F.col("w") * (F.col("py") - F.col("y"))).otherwise(0.0).alias("dy"))
 
 
+def predicted_corners(seen: DataFrame, frames: DataFrame, cameras: DataFrame, spacing: float, width_n: int, lensmodel: str, warp=None) -> DataFrame:
+    """Corners put where their boards and cameras say: observations without noise, weights kept."""
+    unweighted = board_residuals(seen.select("*", F.col("w").alias("__w")).withColumn("w", F.lit(1.0)), frames, cameras, spacing, width_n, lensmodel, warp)
+    return unweighted.withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy"), "w": F.col("__w")}).select(*seen.columns)
+
+
+def point_residuals(seen: DataFrame, points: DataFrame, cameras: DataFrame, lensmodel: str) -> DataFrame:
+    """Point observations (point, cam, x, y, w, ...) with dx, dy = weight (predicted - seen), 0 where the weight is not positive; points are (point, p)."""
+    n = lens.lensmodel(lensmodel).num_params
+    rows = seen.join(points, "point").join(cameras, "cam")
+    rows = rows.withColumn("rt_cam_ref", F.coalesce("rt_cam_ref", F.array(*[F.lit(0.0)] * 6)))
+    project = lens.CLOSED[lensmodel][0]
+    arguments = [[F.col("intrinsics")[k] for k in range(n)], [F.col("rt_cam_ref")[k] for k in range(6)], [F.col("p")[k] for k in range(3)]]
+    rows = on_frame(rows, lambda m, i, cam, p: project(m, i, pose.transform_point_rt(m, cam, p)), arguments, names=["px", "py"])
+    used = F.col("w") > 0
+    return rows.select(*seen.columns, *[F.when(used, F.col("w") * (F.col(f"p{c}") - F.col(c))).otherwise(0.0).alias(f"d{c}") for c in "xy"])
+
+
 def measurements_board(residuals: DataFrame, cam: int | None = None) -> DataFrame:
     """Residuals of corners in use, of one camera if asked."""
     rows = residuals.filter("w > 0")

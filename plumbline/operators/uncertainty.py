@@ -32,16 +32,32 @@ def sorted_eig(M: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(w, order, -1), np.take_along_axis(v, order[..., None, :], -1)
 
 
+def input_sigma(p: Problem, x: np.ndarray) -> float:
+    """The pixel noise that the residuals of board corners and points in use imply."""
+    n = p.num_measurements_boards() + p.num_measurements_points()
+    used = np.repeat(np.concatenate([p.seen[..., 2].ravel() > 0, p.seen_points[:, 2] > 0]), 2)
+    e = x[:n][used]
+    return math.sqrt(float(e @ e) / len(e)) / math.sqrt(max(1 - p.num_states() / len(e), 1e-9))
+
+
+def propagated(p: Problem, J: np.ndarray, sigma: float | None = None) -> np.ndarray:
+    """Covariances (m, k, k) of m results with gradients J (m, k, states, packed) by input noise: J M Jo'Jo M J' s^2 with M = (J'J)^-1; only observations carry noise."""
+    normal = p.normal()
+    solve, observed = normal.factor(), p.normal(observations_only=True) if p.num_measurements_regularization() else normal
+    s = input_sigma(p, normal.x) if sigma is None else sigma
+    out = np.empty((*J.shape[:2], J.shape[1]))
+    for at in range(0, len(J), 512):  # a block at a time, as its columns are dense
+        part = J[at : at + 512]
+        y = solve(part.reshape(-1, p.num_states()).T)
+        z = observed.times(y)
+        y, z = (c.T.reshape(part.shape) for c in (y, z))
+        out[at : at + 512] = np.einsum("mia,mja->mij", y, z)
+    return out * s * s
+
+
 def state_covariance(p: Problem, sigma: float | None = None) -> np.ndarray:
-    """Covariance of packed variables by input noise: M Jo'Jo M s^2 with M = (J'J)^-1; only observations carry noise."""
-    A, _, x = p.normal()
-    n = p.num_measurements_boards()
-    used = np.repeat(p.seen[..., 2].ravel() > 0, 2)
-    if sigma is None:
-        e = x[:n][used]
-        sigma = math.sqrt(float(e @ e) / len(e)) / math.sqrt(max(1 - p.num_states() / len(e), 1e-9))
-    M = np.linalg.inv(A)
-    return (M @ p.normal(observations_only=True)[0] @ M if p.regularize else M) * sigma**2
+    """Covariance of all packed variables; for few of them."""
+    return propagated(p, np.eye(p.num_states())[None], sigma)[0]
 
 
 def cross_reprojection(p: Problem) -> np.ndarray:
@@ -62,7 +78,8 @@ def cross_reprojection(p: Problem) -> np.ndarray:
         keep[a : a + 6] = True
     if (w := p.state_index_calobject_warp()) is not None:
         keep[w:] = True
-    for (cols, j), (iframe, _, _) in zip(blocks, p.obs.tolist(), strict=True):
+    for b, (iframe, _, _) in zip(blocks, p.obs.tolist(), strict=False):  # boards come first
+        cols, j = b.all()
         f = np.flatnonzero(cols == at_f[iframe])[0]
         jt = j[:, f : f + 6] @ D[iframe]
         A += jt.T @ jt
@@ -112,7 +129,7 @@ def projection_uncertainty(p_cam: np.ndarray, p: Problem, icam: int, method: str
             J[:, :, a : a + 6] += dq_ref @ g * scale[a : a + 6] / len(p.rt_ref_frame)
     elif p.optimize_frames:
         raise ValueError(f"unknown method {method}")
-    cov = np.einsum("nia,ab,njb->nij", J, state_covariance(p, sigma), J, optimize=True)
+    cov = propagated(p, J, sigma)
     out = {"covariance": lambda: cov, "worstdirection-stdev": lambda: worst_direction_stdev(cov), "rms-stdev": lambda: np.sqrt(np.trace(cov, axis1=-2, axis2=-1) / 2)}[what]()
     return out.reshape(p_cam.shape[:-1] + out.shape[1:])
 
@@ -131,36 +148,53 @@ def projection_diff(models: list[tuple[str, np.ndarray]], imagersize, nx: int =
     The models' coordinates are matched by a robust fit in the focus radius (imager width / 6
     about the centre unless given; 0 or ``intrinsics_only`` for none).
     """
+    kernel, _ = projection_difference(models, imagersize, nx, ny=ny, distance=distance, focus_radius=focus_radius, weights=weights, intrinsics_only=intrinsics_only)
     q0 = grid(imagersize, nx, ny)
-    flat = q0.reshape(-1, 2)
-    v = [lens.unproject(flat, m, i, normalize=True) for m, i in models]
+    r = kernel(q0.reshape(-1, 2))
+    return r.reshape(q0.shape[:2] + r.shape[1:]), q0
+
+
+def projection_difference(models: list[tuple[str, np.ndarray]], imagersize, nx: int = 60, ny: int | None = None, distance: float | None = None, focus_radius: float | None = None, weights: list[np.ndarray] | None = None, intrinsics_only: bool = False):
+    """(kernel, number of models): a function of pixels, with the poses between the models fitted on the grid."""
+    flat = grid(imagersize, nx, ny).reshape(-1, 2)
     far = 1e5 if distance is None else distance
     center = (np.array(imagersize) - 1) / 2
     radius = min(imagersize) / 6 if focus_radius is None else focus_radius
-    near = ((flat - center) ** 2).sum(1) < radius**2
-    out = []
-    for k, (m, i) in enumerate(models[1:], 1):
-        rt = np.zeros(6)
-        if not intrinsics_only and radius > 0:
-            w = near.astype(float) if weights is None else near * weights[k - 1].ravel()
-            rt = implied_rt10(v[0] * far, v[k] * far, flat, lambda p, m=m, i=i: lens.project_with_gradients(p, m, i)[:2], w)
-        p = values(pose.transform_point_rt(NUMPY, list(rt), _parts(v[0] * far)))
-        out.append(lens.project(p, m, i) - flat)
-    d = np.array(out)
-    r = d[0] if len(out) == 1 else np.sqrt((d**2).sum(-1).mean(0))
-    return r.reshape(q0.shape[:2] + r.shape[1:]), q0
+    poses = [np.zeros(6) for _ in models[1:]]
+    if not intrinsics_only and radius > 0:
+        near = (((flat - center) ** 2).sum(1) < radius**2).astype(float)
+        v = [lens.unproject(flat, m, i, normalize=True) for m, i in models]
+        for k, (m, i) in enumerate(models[1:]):
+            w = near if weights is None else near * weights[k].ravel()
+            poses[k] = implied_rt10(v[0] * far, v[k + 1] * far, flat, lambda p, m=m, i=i: lens.project_with_gradients(p, m, i)[:2], w)
+
+    def kernel(q: np.ndarray) -> np.ndarray:
+        p = lens.unproject(q, *models[0], normalize=True) * far
+        d = np.array([lens.project(values(pose.transform_point_rt(NUMPY, list(rt), _parts(p))), m, i) - q for rt, (m, i) in zip(poses, models[1:], strict=True)])
+        return d[0] if len(d) == 1 else np.sqrt((d**2).sum(-1).mean(0))
+
+    return kernel, len(models)
 
 
 def stereo_pair_diff(pairs: list[tuple], imagersize, nx: int = 60, ny: int | None = None, distance: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Two camera pairs ((model, intrinsics, rt_cam_ref) twice each): where the second camera sees what the first does, pair against pair."""
     q0 = grid(imagersize, nx, ny)
+    return stereo_pair_difference(pairs, distance)(q0.reshape(-1, 2)).reshape(q0.shape), q0
+
+
+def stereo_pair_difference(pairs: list[tuple], distance: float | None = None):
+    """The same as a function of pixels."""
     far = 1e5 if distance is None else distance
-    seen = []
-    for (m0, i0, rt0), (m1, i1, rt1) in pairs:
-        p = lens.unproject(q0.reshape(-1, 2), m0, i0, normalize=True) * far
-        ref = values(pose.transform_point_rt_inverted(NUMPY, list(rt0), _parts(p)))
-        seen.append(lens.project(values(pose.transform_point_rt(NUMPY, list(rt1), _parts(ref))), m1, i1))
-    return (seen[1] - seen[0]).reshape(q0.shape), q0
+
+    def kernel(q: np.ndarray) -> np.ndarray:
+        seen = []
+        for (m0, i0, rt0), (m1, i1, rt1) in pairs:
+            p = lens.unproject(q, m0, np.asarray(i0, float), normalize=True) * far
+            ref = values(pose.transform_point_rt_inverted(NUMPY, list(rt0), _parts(p)))
+            seen.append(lens.project(values(pose.transform_point_rt(NUMPY, list(rt1), _parts(ref))), m1, np.asarray(i1, float)))
+        return seen[1] - seen[0]
+
+    return kernel
 
 
 def graft(intrinsics_model: dict, extrinsics_model: dict) -> dict:
@@ -237,3 +271,33 @@ def triangulate(q: np.ndarray, models: list[tuple], method: str = "leecivera-mid
         J.append(j @ np.linalg.pinv(dq))  # the ray's length does not matter to the point
     J = np.concatenate(J, -1)
     return p, J @ pixel_covariance(q_observation_stdev, correlation) @ np.swapaxes(J, -1, -2)
+
+
+def triangulate_solved(q: np.ndarray, p: Problem, cameras: tuple[int, int], method: str = "leecivera-mid2", q_observation_stdev: float = 0.0, correlation: float = 0.0, sigma: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(points, covariances by the noise of the solve, covariances by that of the pixels), (..., 3) and (..., 3, 3), in the first camera's coordinates.
+
+    ``q``: pixel pairs (..., 2, 2) of two cameras of a solved problem.  What the solve's noise does to both
+    lenses and poses moves a point; ``sigma`` is its pixels' deviation (by its residuals if None).
+    """
+    flat = q.reshape(-1, 2, 2)
+    e = [int(p.obs[p.obs[:, 1] == c][0, 2]) for c in cameras]
+    rt = p._poses(np.array(e))
+    rays = [lens.unproject_with_gradients(flat[:, k], p.lensmodel, p.intrinsics[c], normalize=True) for k, c in enumerate(cameras)]
+    n = len(flat)
+    v0, v1, rt0, rt1 = dual_inputs(rays[0][0], rays[1][0], *[np.broadcast_to(x, (n, 6)) for x in rt])
+    rt01 = pose.compose_rt(DUAL, rt0, pose.invert_rt(DUAL, rt1))
+    found = triangulation.METHODS[method](DUAL, v0, pose.rotate_point_r(DUAL, rt01[:3], v1), rt01[3:])
+    j, points = jacobian(found), values(found)
+    J = np.zeros((n, 3, p.num_states()))
+    lo, hi = (0 if p.optimize_core else 4), (None if p.optimize_distortions else 4)
+    for k, c in enumerate(cameras):
+        if p.n_intrinsics:
+            a = p.state_index_intrinsics(c)
+            J[:, :, a : a + p.n_intrinsics] += (j[:, :, 3 * k : 3 * k + 3] @ rays[k][2])[:, :, lo:hi]
+        if (a := p.state_index_extrinsics(e[k])) is not None:
+            J[:, :, a : a + 6] += j[:, :, 6 + 6 * k : 12 + 6 * k]
+    by_solve = propagated(p, J * p.scales(), sigma)
+    jq = np.concatenate([j[:, :, :3] @ rays[0][1], j[:, :, 3:6] @ rays[1][1]], -1)
+    by_pixels = jq @ pixel_covariance(q_observation_stdev, correlation) @ np.swapaxes(jq, -1, -2)
+    shape = q.shape[:-2]
+    return points.reshape(*shape, 3), by_solve.reshape(*shape, 3, 3), by_pixels.reshape(*shape, 3, 3)

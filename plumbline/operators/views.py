@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import lens, pose
 from plumbline.functions.scalars import NUMPY, on_frame, values, with_gradients
-from plumbline.operators import uncertainty
+from plumbline.operators import grids, uncertainty
 from plumbline.operators.solver import Problem
 
 
@@ -34,17 +34,10 @@ def board_outlines(frames: DataFrame, width_n: int, height_n: int, spacing: floa
     return on_frame(rows, pose.transform_point_rt, [[F.col("rt_ref_frame")[i] for i in range(6)], [F.col("v")[i] for i in range(3)]], names=["x", "y", "z"]).drop("rt_ref_frame", "v")
 
 
-def _grid_frame(spark: SparkSession, q: np.ndarray, columns: dict[str, np.ndarray]) -> DataFrame:
-    flat = q.reshape(-1, 2)
-    return spark.createDataFrame(pd.DataFrame({"x": flat[:, 0], "y": flat[:, 1]} | {k: np.asarray(v).reshape(-1) for k, v in columns.items()}))
-
-
 def distortion_off_pinhole(spark: SparkSession, model: str, intrinsics: np.ndarray, imagersize, nx: int = 60) -> DataFrame:
-    """(x, y, dx, dy): where a pinhole with the same core would put each pixel's ray, less the pixel."""
-    q = uncertainty.grid(imagersize, nx)
-    v = lens.unproject(q, model, intrinsics)
-    d = lens.project(v, "LENSMODEL_PINHOLE", intrinsics[:4]) - q
-    return _grid_frame(spark, q, {"dx": d[..., 0], "dy": d[..., 1]})
+    """(iy, ix, x, y, dx, dy): where a pinhole with the same core would put each pixel's ray, less the pixel."""
+    i = np.asarray(intrinsics, float)
+    return grids.over_grid(spark, imagersize, nx, lambda q: lens.project(lens.unproject(q, model, i), "LENSMODEL_PINHOLE", i[:4]) - q, ["dx", "dy"])
 
 
 def radial_distortion(model: str, intrinsics: np.ndarray, degrees: np.ndarray) -> np.ndarray:
@@ -54,26 +47,49 @@ def radial_distortion(model: str, intrinsics: np.ndarray, degrees: np.ndarray) -
     return np.degrees(np.arctan((q[:, 0] - intrinsics[2]) / intrinsics[0]))
 
 
-def splined_correction(spark: SparkSession, model: str, intrinsics: np.ndarray, nx: int = 60) -> DataFrame:
-    """(ux, uy, dux, duy): the spline's surface over its domain."""
-    m = lens.lensmodel(model)
-    domain = lens.splined_domain(m)
-    ux, uy = np.meshgrid(np.linspace(domain[:, 0].min(), domain[:, 0].max(), nx), np.linspace(domain[:, 1].min(), domain[:, 1].max(), nx))
-    p = values(lens.ray_of_u(NUMPY, [ux, uy]))
-    q = lens.project(p, m, intrinsics)
-    du = (q - intrinsics[2:4]) / intrinsics[:2] - np.stack([ux, uy], -1)
-    return spark.createDataFrame(pd.DataFrame({"ux": ux.ravel(), "uy": uy.ravel(), "dux": du[..., 0].ravel(), "duy": du[..., 1].ravel()}))
+def splined_correction(spark: SparkSession, model: str, intrinsics: np.ndarray, nx: int = 60, ny: int | None = None) -> DataFrame:
+    """(iy, ix, ux, uy, dux, duy): the spline's surface over its domain."""
+    m, i = lens.lensmodel(model), np.asarray(intrinsics, float)
+    (x0, y0), (x1, y1) = lens.splined_domain(m).min(0), lens.splined_domain(m).max(0)
+    ny = nx if ny is None else ny
+
+    def kernel(at: np.ndarray) -> np.ndarray:
+        u = np.stack([x0 + at[:, 0] * (x1 - x0) / (nx - 1), y0 + at[:, 1] * (y1 - y0) / (ny - 1)], -1)
+        q = lens.project(values(lens.ray_of_u(NUMPY, [u[:, 0], u[:, 1]])), m, i)
+        return np.concatenate([u, (q - i[2:4]) / i[:2] - u], -1)
+
+    rows = spark.range(nx * ny).selectExpr(f"CAST(id div {nx} AS INT) AS iy", f"CAST(id % {nx} AS INT) AS ix")
+    return grids.with_kernel(rows, ["ix", "iy"], kernel, ["ux", "uy", "dux", "duy"])
+
+
+def resolution(spark: SparkSession, model: str, intrinsics: np.ndarray, imagersize, nx: int = 60, mode: str = "mean") -> DataFrame:
+    """(iy, ix, x, y, deg_pixel)"""
+    i = np.asarray(intrinsics, float)
+    return grids.over_grid(spark, imagersize, nx, lambda q: lens.model_resolution_deg_pixel(q, model, i, mode), ["deg_pixel"])
+
+
+def projection_difference(spark: SparkSession, models: list[tuple[str, np.ndarray]], imagersize, nx: int = 60, **how) -> DataFrame:
+    """(iy, ix, x, y, dx, dy), or (.., difference) of more than two models: the pose between them is fitted on a grid of nx columns, the table made on the cluster."""
+    kernel, n = uncertainty.projection_difference(models, imagersize, nx, **how)
+    return grids.over_grid(spark, imagersize, nx, kernel, ["dx", "dy"] if n == 2 else ["difference"])
+
+
+def stereo_pair_difference(spark: SparkSession, pairs: list[tuple], imagersize, nx: int = 60, distance: float | None = None) -> DataFrame:
+    """(iy, ix, x, y, dx, dy)"""
+    return grids.over_grid(spark, imagersize, nx, uncertainty.stereo_pair_difference(pairs, distance), ["dx", "dy"])
 
 
-def resolution(spark: SparkSession, model: str, intrinsics: np.ndarray, imagersize, nx: int = 60, mode: str = "max") -> DataFrame:
-    q = uncertainty.grid(imagersize, nx)
-    return _grid_frame(spark, q, {"deg_pixel": lens.model_resolution_deg_pixel(q, model, intrinsics, mode)})
+def uncertainty_by_distance(p: Problem, icam: int, distances: np.ndarray, q: np.ndarray | None = None, method: str = "cross-reprojection") -> np.ndarray:
+    """The worst-direction deviation of one pixel (the imager's middle unless given) at each distance."""
+    at = (np.asarray(p.imagersizes[icam], float) - 1) / 2 if q is None else np.asarray(q, float)
+    v = lens.unproject(at, p.lensmodel, p.intrinsics[icam], normalize=True)
+    return uncertainty.projection_uncertainty(np.asarray(distances, float)[:, None] * v, p, icam, method)
 
 
-def uncertainty_grid(spark: SparkSession, p: Problem, icam: int, nx: int = 60, distance: float | None = None, method: str = "cross-reprojection") -> DataFrame:
+def uncertainty_grid(spark: SparkSession, p: Problem, icam: int, nx: int = 60, distance: float | None = None, method: str = "cross-reprojection", ny: int | None = None) -> DataFrame:
     """(x, y, stdev) over the imager, at a distance or at infinity: the problem goes to the tasks, each makes its part of the grid."""
     w, h = (int(v) for v in p.imagersizes[icam])
-    ny = int(round(h / w * nx))
+    ny = int(round(h / w * nx)) if ny is None else ny
 
     def run(batches):
         for pdf in batches:
