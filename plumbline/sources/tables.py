@@ -23,9 +23,14 @@ def read_corners(spark: SparkSession, path: str, weight: str | None = "level") -
     A file is read whole by one task, as its order of lines numbers the corners.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    return parse_corners(files, weight)
+
+
+def parse_corners(lines: DataFrame, weight: str | None = "level") -> DataFrame:
+    """The same of (file, line, text)."""
     f = F.split(F.trim(F.regexp_replace("text", "#.*$", "")), r"\s+")
     number = lambda i: F.nullif(F.get(f, F.lit(i)), F.lit("-")).try_cast("double")
-    rows = files.filter(F.size(f) >= 3).select("file", F.get(f, F.lit(0)).alias("filename"), "line", number(1).alias("x"), number(2).alias("y"), F.get(f, F.lit(3)).alias("field"))
+    rows = lines.filter(F.size(f) >= 3).select("file", F.get(f, F.lit(0)).alias("filename"), "line", number(1).alias("x"), number(2).alias("y"), F.get(f, F.lit(3)).alias("field"))
     w = F.when(F.col("field").isNull(), 1.0).otherwise(corner_weight(F.col("field"), weight)) if weight else F.lit(1.0)
     return rows.select("file", "filename", "line", "x", "y", F.when(F.col("x").isNull() | (F.col("x") < 0) | (F.col("y") < 0), -1.0).otherwise(w).alias("w"))
 
@@ -68,26 +73,27 @@ def decode_image(data: bytes) -> np.ndarray:
         raise ValueError("only plain grey and RGB PNG images are read")
     c, size = (3 if color == 2 else 1), bits // 8
     raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(h, 1 + w * c * size)
-    step, out = c * size, np.zeros((h + 1, w * c * size), np.int64)
+    step = c * size
+    out = np.zeros((h + 1, w + 1, step), np.int64)  # a row above and a pixel to the left of the image are 0
+    lines = raw[:, 1:].reshape(h, w, step).astype(np.int64)
     for y in range(h):
-        f, line, up = raw[y, 0], raw[y, 1:].astype(np.int64), out[y]
-        if f == 0:
-            out[y + 1] = line
-        elif f == 2:
-            out[y + 1] = (line + up) & 255
+        kind, line, up, row = raw[y, 0], lines[y], out[y], out[y + 1]
+        if kind == 0:
+            row[1:] = line
+        elif kind == 2:
+            row[1:] = (line + up[1:]) & 255
+        elif kind == 1:  # each pixel adds the one to its left: a running sum
+            row[1:] = np.cumsum(line, 0) & 255
         else:
-            row = out[y + 1]
-            for x in range(len(line)):
-                a = row[x - step] if x >= step else 0
-                b, d = up[x], (up[x - step] if x >= step else 0)
-                if f == 1:
-                    p = a
-                elif f == 3:
-                    p = (a + b) // 2
+            for x in range(w):
+                left, above, corner = row[x], up[x + 1], up[x]
+                if kind == 3:
+                    guess = (left + above) // 2
                 else:
-                    e = a + b - d
-                    p = min((abs(e - a), 0, a), (abs(e - b), 1, b), (abs(e - d), 2, d))[2]
-                row[x] = (line[x] + p) & 255
+                    far = np.abs(np.stack([above - corner, left - corner, left + above - 2 * corner]))
+                    guess = np.choose(far.argmin(0), [left, above, corner])  # ties go to the left, then above
+                row[x + 1] = (line[x] + guess) & 255
+    out = out[:, 1:].reshape(h + 1, -1)
     px = out[1:].astype(np.uint8).tobytes()
     a = np.frombuffer(px, ">u2" if bits == 16 else "u1").reshape((h, w, c) if c > 1 else (h, w)).astype("u2" if bits == 16 else "u1")
     return a[..., ::-1] if c > 1 else a
@@ -127,6 +133,24 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, IMAGE)
 
 
+def write_images(images: DataFrame, folder: str, end: str = "png") -> DataFrame:
+    """Images as files in a shared folder, named as those they came from; the (lazy) table of paths written."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                path = f"{base}/{r['path'].rsplit('/', 1)[-1].rsplit('.', 1)[0]}.{end}"
+                with fs.open_output_stream(path) as f:
+                    f.write(encode_image(image_array(r), end))
+                out.append(path)
+            yield pd.DataFrame({"path": out})
+
+    return images.mapInPandas(run, "path string")
+
+
 def image_array(row) -> np.ndarray:
     a = np.frombuffer(row["data"], row["dtype"])
     return a.reshape(row["height"], row["width"], 3) if row["channels"] == 3 else a.reshape(row["height"], row["width"])
