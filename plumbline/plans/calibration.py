@@ -267,6 +267,18 @@ SQL: dict[str, str] = {
 }
 
 
+def _cull_tracks(rounds: int) -> str:
+    """Rounds of culling, written out; more rounds than it takes to come to rest change nothing."""
+    steps = ["t0 AS (SELECT l_partkey AS point, l_suppkey AS cam FROM lineitem)"]
+    for i in range(rounds):
+        steps.append(f"p{i} AS MATERIALIZED (SELECT * FROM t{i} WHERE point IN (SELECT point FROM t{i} GROUP BY point HAVING count(DISTINCT cam) >= 28))")
+        steps.append(f"t{i + 1} AS MATERIALIZED (SELECT * FROM p{i} WHERE cam IN (SELECT cam FROM p{i} GROUP BY cam HAVING count(*) >= 150))")
+    return f"WITH {', '.join(steps)} SELECT cam, count(*) AS n, count(DISTINCT point) AS points FROM t{rounds} GROUP BY cam"
+
+
+SQL["cull_tracks"] = _cull_tracks(12)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (corner_table, residual_board, measurements_board_cam1, pixel_uncertainty, solve_report, mark_outliers, regional_statistics, residual_histogram, residual_gaussian, per_observation, worst_observations, cull_left_of, cull_off_center, cull_off_board_center, images_with_points, exclude_images, frame_numbering, whole_boards, shared_frames, supplier_links, traverse_links, corresponding_extrinsics, cull_tracks, point_sets, triangulated_pairs, worst_direction, covariance_ellipse, jt_x, a_jt_j_at, block_offsets, sample_imager, within_region, distinct_extrinsics, vignette_color_map, stretch_equalization)
     return {f.__name__: f for f in plain} | {f"rotate_corners_{90 * k}": _single(k) for k in (1, 2, 3)}

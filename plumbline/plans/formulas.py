@@ -1,4 +1,4 @@
-"""Queries that apply each scalar formula to vectors taken from the embeddings, and the same formula as SQL text."""
+"""Queries that apply each scalar formula to vectors taken from the embeddings; their SQL is in ``formula_sql``."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from plumbline.fixtures import vectors
 from plumbline.functions import imaging, lens, pose, triangulation
-from plumbline.functions.scalars import as_sql, graph, on_frame
+from plumbline.functions.scalars import graph, on_frame
+from plumbline.plans import formula_sql
 
 
 class Source:
@@ -22,9 +23,6 @@ class Source:
     def columns(self) -> list:
         return [F.col("e")[i] * k + c for i, k, c in self.parts]
 
-    def texts(self) -> list[str]:
-        return [f"(CAST(e[{i + 1}] AS DOUBLE) * CAST({k!r} AS DOUBLE) + CAST({c!r} AS DOUBLE))" for i, k, c in self.parts]
-
 
 def at(first: int, n: int, k: float = 1.0, c: float = 0.0) -> Source:
     return Source(*[(first + i, k, c) for i in range(n)])
@@ -55,6 +53,13 @@ def _compose_Rt(m, a, b):
     return pose.compose_Rt(m, pose.Rt_from_rt(m, a), pose.Rt_from_rt(m, b))
 
 
+def _multiplied(m, a, b):
+    """A B, A' B, A B', A' B'"""
+    A, B = pose.R_from_r(m, a), pose.R_from_r(m, b)
+    pairs = ((x, y) for y in (B, pose.invert_R(m, B)) for x in (A, pose.invert_R(m, A)))
+    return [c for x, y in pairs for c in pose.multiply_R(m, x, y)]
+
+
 #: name: (formula, sources)
 FORMULAS: dict[str, tuple[Callable, tuple[Source, ...]]] = {
     "identity_R": (lambda m, v: pose.identity_R(m), (P3,)),
@@ -85,6 +90,7 @@ FORMULAS: dict[str, tuple[Callable, tuple[Source, ...]]] = {
     "Rt_from_qt": (lambda m, rt: pose.Rt_from_qt(m, [*pose.quat_from_r(m, rt[:3]), *rt[3:]]), (RT0,)),
     "skew_symmetric": (pose.skew_symmetric, (P3,)),
     "R_aligned_to_vector": (pose.R_aligned_to_vector, (P3,)),
+    "multiply_R": (_multiplied, (R3, at(9, 3, 6.0))),
     "apply_homography": (pose.apply_homography, (Source(*[(9 + i, 0.1, 1.0 if i % 4 == 0 else 0.0) for i in range(9)]), at(6, 2))),
     "project_pinhole": (lens.project_pinhole, (CORE, AHEAD)),
     "unproject_pinhole": (lens.unproject_pinhole, (CORE, PIXEL)),
@@ -118,13 +124,9 @@ def _count(formula: Callable, sources: tuple[Source, ...]) -> int:
     return len(graph(formula, [len(s.parts) for s in sources]))
 
 
-def _sql(formula: Callable, sources: tuple[Source, ...]) -> str:
-    return as_sql(formula, [s.texts() for s in sources], "(SELECT vec_id, embedding AS e FROM embeddings) v", ["vec_id"], "CAST(round({}, 6) + 0.0 AS DOUBLE)")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: _query(f, s) for n, (f, s) in FORMULAS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: _sql(f, s) for n, (f, s) in FORMULAS.items()}
+    return formula_sql.SQL

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import calibration, formulas, solvers
+from plumbline.plans import calibration, files, formulas, geometry, solvers
 
-MODULES = (calibration, formulas, solvers)
+MODULES = (calibration, formulas, solvers, geometry, files)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,9 +48,3 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
-
-
-def test_projection_difference_uses_the_default_grid(spark):
-    rows = registry.queries()["projection_difference"](spark, SF).collect()
-    assert {(r.iy, r.ix) for r in rows} == {(y, x) for y in range(48) for x in range(60)}
-    assert all(abs(r.dx) < 0.1 and abs(r.dy) < 0.1 for r in rows)
