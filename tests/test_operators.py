@@ -114,7 +114,8 @@ def test_layout(solved):
     assert p.num_states() == 2 * 8 + 6 + 14 * 6 + 2 and p.state_index_frames(1) == 16 + 6 + 6 and p.state_index_calobject_warp() == p.num_states() - 2
     assert p.num_measurements_boards() == 28 * 48 * 2 and p.measurement_index_boards(2) == 2 * 2 * 48 and p.num_measurements() == p.num_measurements_boards() + 12
     j = p.jacobian_table()
-    assert j["row"].max() < p.num_measurements() and j["col"].max() < p.num_states() and len(j) == p.num_j_nonzero()
+    assert j["row"].max() < p.num_measurements() and j["col"].max() < p.num_states()
+    assert len(j) - 2 * p.num_measurements_boards() == p.num_j_nonzero()  # the table holds fy and cy of x, and fx and cx of y, which are 0
     x, _ = p.measure()
     e = 1e-6
     for k in (0, 5, 17, 30):
@@ -127,6 +128,109 @@ def test_layout(solved):
         assert np.allclose(num, got, rtol=1e-3, atol=1e-2 * max(1, np.abs(got).max()) * 1e-2)
 
 
+def scene(kind):
+    """Two cameras beside one at the reference, free and known points, rays; with a board for good measure."""
+    rng = np.random.default_rng(3)
+    core = np.array([[600.0, 610, 320, 240, 0.05, -0.02, 0.001, 0.002], [620.0, 600, 310, 250, -0.03, 0.02, 0.001, -0.002]])
+    rt = np.array([[0.02, 0.1, -0.01, -0.6, 0.1, 0.05], [-0.05, -0.1, 0.02, 0.5, -0.2, 0.1]])
+    poses = np.vstack([rt, np.zeros((1, 6))])
+    points = np.stack([rng.uniform(-1.5, 1.5, 10), rng.uniform(-1, 1, 10), rng.uniform(5, 8, 10)], -1)
+    T = lambda a, p: values(pose.transform_point_rt(NUMPY, list(a), [p[:, i] for i in range(3)]))
+    obs_points = np.array([(p, e % 2, e) for e in (-1, 0, 1) for p in range(10)])
+    q = np.array([lens.project(T(poses[e], points[p : p + 1]), "LENSMODEL_OPENCV4", core[c])[0] for p, c, e in obs_points])
+    seen_points = np.concatenate([q, np.ones((30, 1))], 1)
+    seen_points[4, 2] = -1
+    frames = np.array([[0.1, -0.2, 0.05, -0.3, 0.1, 3.0], [0.2, 0.1, -0.1, 0.2, -0.1, 3.5]])
+    y, x = np.mgrid[:3, :4].astype(float)
+    board = np.stack([x * 0.2, y * 0.2, 0 * x], -1).reshape(-1, 3)
+    o = np.array([(f, e % 2, e) for f in (0, 1) for e in (-1, 0, 1)])
+    seen = np.array([np.concatenate([lens.project(T(poses[e], T(frames[f], board)), "LENSMODEL_OPENCV4", core[c]), np.ones((12, 1))], 1).reshape(3, 4, 3) for f, c, e in o])
+    rays = np.array([T(poses[e], points[p : p + 1])[0] for p in range(5) for e in (-1, 0, 1)])
+    obs_rays = np.array([(p, e % 2, e) for p in range(5) for e in (-1, 0, 1)])
+    noise = rng.standard_normal(rays.shape) * (0.002 if kind == "noisy" else 0)
+    return solver.Problem("LENSMODEL_OPENCV4", np.array([[640, 480]] * 2), core, rt, frames, o, seen, 0.2, points=points, n_fixed=3, obs_points=obs_points, seen_points=seen_points, obs_rays=obs_rays, rays=rays + noise, unity_cam01=True)
+
+
+def test_points_and_rays_are_measured():
+    p = scene("exact")
+    assert p.num_states() == 16 + 12 + 12 + 21 + 2 and p.state_index_points(6) == 40 + 18 and p.state_index_points(7) is None
+    assert (p.num_measurements_boards(), p.num_measurements_points(), p.num_measurements_points_triangulated(), p.num_measurements_regularization()) == (144, 60, 15, 13)
+    assert p.measurement_index_points(2) == 148 and p.measurement_index_points_triangulated(2) == 204 + 6 and p.measurement_index_regularization() == 219
+    assert p.decode_triangulated(7) == {"iobservation0": 6, "iobservation1": 8, "iobservation_point0": 6, "Nobservations_this_point": 3, "Nmeasurements_this_point": 3, "ipoint": 2}
+    x, _ = p.measure()
+    assert np.abs(x[:204]).max() < 1e-9 and np.abs(x[204:219]).max() < 1e-6
+    own = 2 + 4
+    assert len(p.jacobian_table()) - 2 * 204 + 2 * 15 * own == p.num_j_nonzero()
+
+
+def test_gradients_of_all_measurements():
+    p = scene("noisy")
+    rng = np.random.default_rng(0)
+    p = p.ingest(p.pack() + rng.standard_normal(p.num_states()) * 1e-3 / p.scales())
+    j = p.jacobian_table().pivot_table(index="row", columns="col", values="value", fill_value=0.0, aggfunc="sum").reindex(index=range(p.num_measurements()), columns=range(p.num_states()), fill_value=0.0).to_numpy()
+    for k in range(p.num_states()):
+        e = np.zeros(p.num_states())
+        e[k] = 1e-6 / p.scales()[k]
+        num = (p.ingest(p.pack() + e).measure(False)[0] - p.ingest(p.pack() - e).measure(False)[0]) / 2e-6
+        assert np.allclose(num, j[:, k], rtol=2e-4, atol=2e-4 * max(1, np.abs(j[:, k]).max())), k
+    normal, js = p.normal(), j * p.scales()
+    assert np.allclose(normal.dense(), js.T @ js, rtol=1e-9, atol=1e-9) and np.allclose(normal.g, js.T @ normal.x)
+    r = rng.standard_normal((p.num_states(), 3))
+    damped = js.T @ js
+    damped += 1e-3 * np.diag(np.diag(damped))
+    assert np.allclose(damped @ normal.factor(1e-3)(r), r, atol=1e-6)
+    assert np.allclose(normal.times(r), js.T @ js @ r)
+    low = solver.conditioning(p, 3)
+    assert [c["eigenvalue"] for c in low] == sorted(c["eigenvalue"] for c in low) and 0 < low[0]["share"] < 1
+
+
+def test_points_are_found_again():
+    truth = scene("exact")
+    rng = np.random.default_rng(1)
+    start = replace(truth, optimize_core=False, optimize_distortions=False, regularize=False, unity_cam01=False, optimize_warp=False)
+    start = start.ingest(start.pack() + rng.standard_normal(start.num_states()) * 0.02 / start.scales())
+    assert np.abs(start.points[:7] - truth.points[:7]).max() > 0.01 and (start.points[7:] == truth.points[7:]).all()
+    p, s = solver.optimize(start, False)
+    assert s["rms"] < 1e-6 and np.allclose(p.points, truth.points, atol=1e-5) and np.allclose(p.rt_cam_ref, truth.rt_cam_ref, atol=1e-6)
+
+
+def test_outliers_among_rays():
+    p = scene("noisy")
+    p = replace(p, rays=p.rays + 0, seen=p.seen.copy())
+    p.rays[4] += [0, 0.5, 0]
+    marked, found = solver.mark_outliers(p, p.measure(False)[0])
+    assert found >= 2 and marked.rays_out[4] and not p.rays_out.any()
+    n = p.num_measurements_boards() + p.num_measurements_points()
+    gone = (marked.rays_out[p.pairs()]).any(1)
+    assert (marked.measure(False)[0][n : n + 15][gone] == 0).all()
+
+
+@pytest.mark.parametrize("nx, ny", [(5, 4), (5, 5)])
+def test_splines_are_held_back_across_more_than_along(nx, ny):
+    name = f"LENSMODEL_SPLINED_STEREOGRAPHIC_order=3_Nx={nx}_Ny={ny}_fov_x_deg=90"
+    rng = np.random.default_rng(0)
+    du = rng.standard_normal((ny, nx, 2))
+    p = solver.Problem(name, np.array([[640, 480]]), np.concatenate([[500.0, 500, 319.5, 239.5], du.ravel()])[None], np.zeros((0, 6)), np.zeros((0, 6)), np.zeros((0, 3), int), np.zeros((0, 1, 1, 3)), 0.1, optimize_core=False)
+    x, rows = p._regularization()
+    assert len(x) == 2 * nx * ny == p.num_measurements_regularization() and all(len(r) == 2 for r in rows)
+    for n, (along, across) in enumerate(x.reshape(-1, 2)):
+        v = du.reshape(-1, 2)[n]
+        away = np.array([n % nx - (nx - 1) / 2, n // nx - (ny - 1) / 2])
+        if not away.any():
+            assert np.allclose([along, across], [0.01 * v[0], -0.01 * v[1]])
+            continue
+        away /= np.linalg.norm(away)
+        assert np.isclose(along, 0.01 * v @ away) and np.isclose(abs(across), 0.1 * abs(away[0] * v[1] - away[1] * v[0]))
+
+
+def test_propagation_equals_the_dense_formula(solved):
+    p = solved[0]
+    J = np.random.default_rng(0).standard_normal((5, 2, p.num_states()))
+    M = np.linalg.inv(p.normal().dense())
+    want = J @ (M @ p.normal(observations_only=True).dense() @ M) @ np.swapaxes(J, -1, -2) * 0.09
+    assert np.allclose(uncertainty.propagated(p, J, 0.3), want, rtol=1e-5)
+
+
 def test_uncertainty_against_sampling(solved):
     """The predicted deviation of a pixel against that of re-solved noisy problems, for one camera's own intrinsics and pose."""
     p, _, _ = solved
@@ -153,6 +257,28 @@ def test_uncertainty_against_sampling(solved):
     assert 0 < cross < 4 * want
 
 
+def test_noise_of_a_solve_in_triangulated_points(solved):
+    p = solved[0]
+    at = np.array([[0.2, 0.1, 2.5], [-0.3, 0.2, 4.0]])
+    second = values(pose.transform_point_rt(NUMPY, list(p.rt_cam_ref[0]), [at[:, k] for k in range(3)]))
+    q = np.stack([lens.project(at, p.lensmodel, p.intrinsics[0]), lens.project(second, p.lensmodel, p.intrinsics[1])], 1)
+
+    def point(x):
+        cams = [(x.lensmodel, x.intrinsics[c], rt) for c, rt in enumerate((np.zeros(6), x.rt_cam_ref[0]))]
+        return uncertainty.triangulate(q, cams)
+
+    points, by_solve, by_pixels = uncertainty.triangulate_solved(q, p, (0, 1), q_observation_stdev=0.5, sigma=0.3)
+    assert np.allclose(points, at, atol=1e-6)
+    J = np.zeros((2, 3, p.num_states()))
+    for k in range(p.num_states()):
+        e = np.zeros(p.num_states())
+        e[k] = 1e-6
+        J[:, :, k] = (point(p.ingest(p.pack() + e)) - point(p.ingest(p.pack() - e))) / 2e-6
+    assert np.allclose(by_solve, uncertainty.propagated(p, J, 0.3), rtol=1e-3, atol=1e-12)
+    cams = [(p.lensmodel, p.intrinsics[c], rt) for c, rt in enumerate((np.zeros(6), p.rt_cam_ref[0]))]
+    assert np.allclose(by_pixels, uncertainty.triangulate(q, cams, q_observation_stdev=0.5)[1], rtol=1e-6)
+
+
 def test_differences_and_refits():
     i = np.array([1200.0, 1210, 960, 600, -0.1, 0.05, 0.001, -0.001])
     d, _ = uncertainty.projection_diff([("LENSMODEL_OPENCV4", i)] * 2, (1920, 1200), nx=24)
@@ -190,7 +316,7 @@ def test_feature_matching():
     assert np.abs(q - [45, 43]).max() < 0.5
 
 
-MODEL = {"lensmodel": "LENSMODEL_OPENCV4", "intrinsics": [1200.0, 1210.0, 960.0, 600.0, -0.1, 0.05, 0.001, -0.001], "imagersize": [1920, 1200], "rt_cam_ref": [0.1, 0.2, -0.3, 1.0, 2.0, 3.0], "icam_intrinsics": 2, "valid_intrinsics_region": [[0.0, 0.0], [100.0, 0.0], [100.0, 100.0], [0.0, 0.0]]}
+MODEL = {"lensmodel": "LENSMODEL_OPENCV4", "intrinsics": [1200.0, 1210.0, 960.0, 600.0, -0.1, 0.05, 0.001, -0.001], "imagersize": [1920, 1200], "rt_cam_ref": [0.1, 0.2, -0.3, 1.0, 2.0, 3.0], "icam_intrinsics": None, "icam_extrinsics": None, "optimization_inputs": None, "valid_intrinsics_region": [[0.0, 0.0], [100.0, 0.0], [100.0, 100.0], [0.0, 0.0]]}
 
 
 def test_model_files(spark, tmp_path):
@@ -223,7 +349,51 @@ def test_yaml_files():
     ros = "image_width: 640\nimage_height: 480\ncamera_matrix:\n  rows: 3\n  data: [500, 0, 320,\n    0, 501, 240, 0, 0, 1]\ndistortion_coefficients:\n  data: [0.1, 0.2, 0, 0, 0.3]\n"
     m = models.parse_ros(ros)
     assert m["lensmodel"] == "LENSMODEL_OPENCV5" and m["intrinsics"] == [500, 501, 320, 240, 0.1, 0.2, 0, 0, 0.3]
-    assert models.parse_transforms("ins_from_camera3 = 1 2 3 4 5 6\nveh_from_ins = 0 0 0 1 1 1")["ins_from_camera"] == {3: [1, 2, 3, 4, 5, 6]}
+
+
+def test_transforms():
+    got = models.parse_transforms("# c\nins2veh = (1 2 3) (1 0 0 0)\n cam2ins[3] = (4 5 6)(0.6 0 0 0.8)\n")
+    assert np.allclose(got["veh_from_ins"], [[1, 0, 0], [0, 1, 0], [0, 0, 1], [1, 2, 3]])
+    assert np.allclose(got["ins_from_camera"][3], [[-0.28, -0.96, 0], [0.96, -0.28, 0], [0, 0, 1], [4, 5, 6]])
+    for bad in ("cam2ins[3] = (4 5 6) (1 0 0 0)", "ins2veh = (1 2 3) (1 0 0 0)\nins2veh = (1 2 3) (1 0 0 0)", "ins2veh = 1 2 3", "veh = (1 2 3) (1 0 0 0)"):
+        with pytest.raises(ValueError):
+            models.parse_transforms(bad)
+
+
+def test_cahvor_axes():
+    """V that leans towards H does not make a rotation that is none; a missing size is an error."""
+    text = "Dimensions = 640 480\nC = 1 2 3\nA = 0 0 2\nH = 500 0 320\nV = 20 510 240\n"
+    m = models.parse_cahvor(text)
+    R = np.array(values(pose.R_from_r(NUMPY, [np.float64(x) for x in m["rt_cam_ref"][:3]]))).reshape(3, 3)
+    assert np.allclose(R, np.eye(3)) and m["intrinsics"][:1] == [500.0] and m["intrinsics"][2:] == [320.0, 240.0]
+    with pytest.raises(ValueError, match="Dimensions"):
+        models.parse_cahvor(text.split("\n", 1)[1])
+
+
+def test_stored_solves(solved):
+    p = solved[0]
+    inputs = models.inputs_of(p)
+    m = models.CameraModel(lensmodel=p.lensmodel, intrinsics=p.intrinsics[1].tolist(), imagersize=[1920, 1200], rt_cam_ref=p.rt_cam_ref[0].tolist(), icam_intrinsics=1, icam_extrinsics=0, optimization_inputs=inputs)
+    again = models.CameraModel.parse(str(m))
+    assert again.same_solve(m) and again.icam_extrinsics == 0 and not again.moved_since_solve()
+    q = models.problem_of(again.optimization_inputs)
+    assert np.allclose(q.measure(False)[0], p.measure(False)[0]) and q.num_states() == p.num_states()
+    assert models.unpack_inputs(models.pack_inputs({"a": None, "b": "x", "c": True, "rt_cam_ref": None}))["rt_cam_ref"].shape == (0, 6)
+    again.rt_ref_cam = again.rt_ref_cam + 0.1
+    assert again.moved_since_solve() and again.optimization_inputs is not None
+    again.set_intrinsics("LENSMODEL_PINHOLE", [1, 2, 3, 4])
+    assert again.optimization_inputs is None and not again.same_solve(m) and again.valid_intrinsics_region is None
+    with pytest.raises(ValueError):
+        models.CameraModel.parse(str(models.CameraModel(**MODEL)).replace("}", "    'icam_intrinsics': 1,\n}"))
+
+
+def test_poses_of_a_model():
+    m = models.CameraModel(**MODEL)
+    for name in ("rt_ref_cam", "Rt_cam_ref", "Rt_ref_cam", "extrinsics_rt_fromref", "extrinsics_Rt_toref"):
+        was, n = m.rt_cam_ref, models.CameraModel(**{**MODEL, "rt_cam_ref": [0.0] * 6})
+        setattr(n, name, getattr(m, name))
+        assert np.allclose(n.rt_cam_ref, was), name
+    assert np.allclose(m.Rt_ref_cam[:3] @ m.Rt_cam_ref[:3], np.eye(3))
 
 
 def test_images_and_clouds(spark, tmp_path):
