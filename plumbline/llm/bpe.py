@@ -8,7 +8,8 @@ pairs of a batch.  Only words that fail it are merged exactly, pair by pair.
 Nulls count as empty texts; empty texts have no ids; ids of special tokens in a text are
 those the tokenizers library gives.  Repeated rows are encoded like any other row; extra
 columns do not matter, as only the two named ones are read.  Texts of any length are
-encoded whole.
+encoded whole; a worker's memory holds one and what it remembers of short units.  No ties arise, as ids
+follow from the text alone.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NOT_WHITE = re.compile(f"[^{WHITE}]+")
 _END = "\x01"  # stands for the end-of-word suffix in lookups; no byte-level symbol is this character
 _BIG = np.int64(1) << 40
-#: Units (runs without white space) whose ids a worker remembers; all are forgotten when it is reached.
-KNOWN = 400_000
+#: Units (runs without white space) of up to KNOWN_LENGTH characters whose ids a worker remembers; all are forgotten when it is reached.
+KNOWN, KNOWN_LENGTH = 400_000, 32
 
 
 def byte_symbols() -> dict[int, str]:
@@ -233,9 +234,10 @@ class WordBPE:
         parts = [self.split(u) for u in new]
         words = list({w for p in parts for w in p if isinstance(w, str)})
         ids = dict(zip(words, self.encode_words(words), strict=True))
+        long: dict[str, tuple[int, ...]] = {}
         for u, p in zip(new, parts, strict=True):
-            known[u] = tuple(ids[p[0]]) if len(p) == 1 and isinstance(p[0], str) else tuple(t for w in p for t in (ids[w] if isinstance(w, str) else (w,)))
-        rows = [known[u] for u in units]
+            (known if len(u) <= KNOWN_LENGTH else long)[u] = tuple(ids[p[0]]) if len(p) == 1 and isinstance(p[0], str) else tuple(t for w in p for t in (ids[w] if isinstance(w, str) else (w,)))
+        rows = [known[u] if u in known else long[u] for u in units]
         lens = np.fromiter(map(len, rows), np.int64, len(rows))
         return np.fromiter(chain.from_iterable(rows), np.uint32, int(lens.sum())), lens
 

@@ -259,11 +259,11 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
         yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["name", "size", "members"])
 
     # a row for each archive, of some tens of megabytes
-    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "name string, size long, members long").sort("name").collect()
+    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "name string, size long, members long").collect()
     fs, base = filesystem(folder)
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base.rstrip('/')}/{MANIFEST}", compression=None) as f:
-        f.write("".join(f"{r.name}\t{r['size']}\n" for r in made).encode())
+        f.write("".join(f"{r.name}\t{r['size']}\n" for r in sorted(made)).encode())
     return sum(r.members for r in made)
 
 

@@ -48,7 +48,7 @@ COORDINATES, BANDS, ROWS = 128, 32, 4
 #: Groups of more rows, or of more shingles, are dealt to blocks of about this size.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 22
 #: Texts are hashed in parts of about this many bytes; a longer word is hashed by itself.
-PART = 1 << 20
+PART = 1 << 18
 #: Groups of more rows are compared one by one, smaller ones many at a time.
 ALONE = 256
 #: Standard deviations under the expected agreement at which two sketches no longer allow the threshold.

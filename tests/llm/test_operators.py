@@ -606,7 +606,7 @@ def test_media_ranges_and_retries(spark, tmp_path):
     # a damaged member: the task fails, or the member alone is null
     path = sorted((tmp_path / "a").glob("*.zip"))[0]
     raw = bytearray(path.read_bytes())
-    raw[200] ^= 0xFF
+    raw[100] ^= 0xFF  # within the first member
     path.write_bytes(bytes(raw))
     with pytest.raises(ValueError):
         [*reader.read(parts[0])]
@@ -708,3 +708,146 @@ def test_licenses_verify_spans(spark):
 def test_licenses_count_a_covered_place_once(spark):
     r = licenses.scan(spark.createDataFrame([(1, "a a a a a a")], "doc_id long, text string"), [("x y z", "x")], [("a a a p q r s", "p")]).first()
     assert r.labels == "" and r.score == 0.2  # "a a a" stands on four neighbouring diagonals
+
+
+# -- plain twins of what SQL can't express ----------------------------------------------------------
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def twin_labels(text):
+    """Labels and score by words alone: diagonals by hand, spans by trying all."""
+    w = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", low(text))
+    labels, best = set(), 0.0
+    for i, (phrase, label) in enumerate([*licenses.BASE, *licenses.PASSAGES]):
+        q = phrase.split()
+        votes = {}
+        for pos in range(len(w) - licenses.K + 1):
+            for at in range(len(q) - licenses.K + 1):
+                if w[pos : pos + licenses.K] == q[at : at + licenses.K]:
+                    votes.setdefault(pos - at, set()).add((pos, at))
+        runs = []
+        for d in sorted(votes):
+            if not runs or d - runs[-1][-1] > licenses.NEAR:
+                runs.append([])
+            runs[-1].append(d)
+        grams = len(q) - licenses.K + 1
+        must, barred = (x.split() for x in licenses.DECIDING.get(label, ("", "")))
+        edits = int((1 - licenses.MIN_COVER) * len(q) + 1e-9)
+        for run in runs:
+            whole = any(len(votes[d]) == grams for d in run)
+            covered = len({at for d in run for _, at in votes[d]}) / grams
+            if i < len(licenses.BASE):
+                if whole:
+                    labels.add(label)
+                best = max(best, 1.0 if whole else covered)
+                continue
+            changed = []
+            for d in run:
+                if len(votes[d]) == grams:
+                    changed.append(0)
+                    continue
+                for pos, at in votes[d]:
+                    begin = max(0, pos - at - edits)
+                    window = w[begin : begin + len(q) + 3 * edits]
+                    spans = [window[s : s + n] for s in range(2 * edits + 1) for n in range(len(q) - edits, len(q) + edits + 1)]
+                    tried = [(edit_distance(s, q), not (all(x in s for x in must if x in q) and not any(x in s for x in barred if x not in q))) for s in spans]
+                    tried = [t for t in tried if t[0] <= edits]
+                    if tried and not min(tried)[1]:
+                        changed.append(min(tried)[0])
+            if changed:
+                labels.add(label)
+            best = max(best, 1 - min(changed) / len(q) if changed else covered)
+    return ",".join(sorted(labels)), best
+
+
+def test_licence_labels_equal_a_plain_twin(spark):
+    rng = random.Random(11)
+    filler = "this file is part of the project and may be used by you under the terms of a license version 2 3 0".split()
+    rows = []
+    for i in range(120):
+        w = [rng.choice(filler) for _ in range(rng.randrange(12))]
+        for _ in range(rng.randrange(3)):
+            q = rng.choice([*licenses.BASE, *licenses.PASSAGES])[0].split()
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(q))
+                q[at : at + rng.randrange(2)] = [rng.choice(filler)] * rng.randrange(2)
+            w += q + [rng.choice(filler) for _ in range(rng.randrange(6))]
+        rows.append((i, " ".join(w)))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert sum(r.labels != "" for r in got) > 40
+    for (_, t), r in zip(rows, got, strict=True):
+        labels, score = twin_labels(t)
+        assert (r.labels, round(r.score, 9)) == (labels, round(score, 9)), t
+
+
+def test_licences_of_a_very_long_text(spark):
+    text = "some words of no licence " * 60_000 + "under the mit license"
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.labels) == (300_004, 1, 300_000, "mit")
+
+
+def test_media_features_equal_plain_counts():
+    import math
+    from collections import Counter
+
+    rng = random.Random(1)
+    for n in (0, 1, 63, 64, 65, 5000):
+        p = media.pad(bytes(rng.choices(range(97, 123), k=n)))
+        c, size = Counter(p), len(p)
+        s1, s2 = sum(p), sum(x * x for x in p)
+        mode = min(v for v, k in c.items() if k == max(c.values()))
+        assert media.feature(p) == f"mean={1000 * s1 // size};dev={math.isqrt(1_000_000 * (size * s2 - s1 * s1) // size**2)};distinct={len(c)};mode={mode};zeros={1000 * c[0] // size}"
+
+
+def twin_grams(text):
+    """Counts of hashed runs of one to three letters or gaps, the last n of which hold a letter."""
+    from collections import Counter
+
+    def letter(c):
+        return 0 if not c.isalpha() else ord(c.lower()) if len(c.lower()) == 1 else ord(c)
+
+    c = [0, *map(letter, text), 0]
+    out, M = Counter(), 0xFFFFFFFF
+    if not any(c):
+        return out
+    for n in (1, 2, 3):
+        for i in range(len(c) - n + 1):
+            part = c[i : i + n]
+            if any(part):
+                h = 0
+                for k, x in enumerate(part, 1):
+                    h = (h * 0x9E3779B1 & M) ^ ((x * 0x85EBCA6B + k) & M)
+                h = (h ^ (h >> 15)) * 0x2C1B3C6D & M
+                out[h >> 16] += 1
+    return out
+
+
+def test_language_scores_equal_a_plain_twin(spark):
+    import math
+
+    rng = random.Random(3)
+    words = {"en": "the of and to in that with this from for".split(), "fr": "le la les des une avec pour dans être élan".split(), "de": "der die das und nicht mit für über größe ist".split()}
+    rows = [(i, " ".join(rng.choice(words[y]) for _ in range(rng.randrange(1, 30))), y) for i, y in ((i, rng.choice([*words])) for i in range(150))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.col("doc_id") % 4 != 2)
+    learned = [r for r in rows if r[0] % 4 != 2]
+    from collections import Counter
+
+    df = Counter(f for _, t, _ in learned for f in twin_grams(t))
+    idf = {f: np.float32(math.log((1 + len(learned)) / (1 + n)) + 1) for f, n in df.items()}
+    assert all(abs(model.idf[f] - x) < 1e-6 for f, x in idf.items())
+    got = {r.doc_id: r for r in langid.predict(docs.select("doc_id", "text"), model).collect()}
+    for i, t, _ in rows:
+        counts = twin_grams(t)
+        v = {f: math.log1p(n) * float(model.idf[f]) for f, n in counts.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        logits = [sum(x / size * float(model.w[f, k]) for f, x in v.items()) / model.temperature for k in range(3)]
+        p = [math.exp(x - max(logits)) for x in logits]
+        best = max(range(3), key=lambda k: p[k])
+        assert got[i].lang_pred == model.langs[best] and got[i].score == pytest.approx(p[best] / sum(p), abs=1e-5)
