@@ -306,8 +306,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
             found = [other[h].features(t).tolist() for t, h in zip(b.column("text").to_pylist(), b.column("half").to_pylist(), strict=True)]
             yield pa.record_batch([pa.array(found, pa.list_(pa.float64())), b.column("toxic")], names=["x", "toxic"])
 
-    got = rows.mapInArrow(run, "x array<double>, toxic int").sort("x", "toxic").toArrow()
-    x, y = np.array(got["x"].to_pylist()), np.array(got["toxic"].to_pylist(), float)
+    got = rows.mapInArrow(run, "x array<double>, toxic int").toArrow()
+    both = np.column_stack([np.array(got["x"].to_pylist()), np.array(got["toxic"].to_pylist(), float)])
+    both = both[np.lexsort(both.T)]  # sums in the same order, however the rows arrive; here, as Spark would make the features twice to sort them
+    x, y = both[:, :-1], both[:, -1]
     model = Model(*lexicon((0, 1)), regression(x, y))
     # toxic rows are more frequent in the sample than among the labels
     model.weights[0] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
