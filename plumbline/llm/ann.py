@@ -15,8 +15,9 @@ segments, and keeps k rows for each query.  Nothing grows on the driver.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a
 null id, take no part.  Vectors of different lengths are never compared.  Rows that repeat an
-id count as one candidate at their least distance.  Ties go to the smaller id.  An empty
-table gives an empty result.
+id count as one candidate at their least distance.  Ties go to the smaller id.  Vectors may be
+as long as they like; a segment of them is held in memory.  An empty table gives an empty
+result.  Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ was put in.  A passage without K words in a row unchanged is not found.
 
 The template table is a parameter of a few hundred rows, so it is broadcast.  Nulls count as
 empty texts, which have no words, no label and score 0.  Rows are told apart by their place
-in the scan, so repeated ids or rows each get their own result.  Extra columns are not read.
+in the scan, so repeated ids or rows each get their own result.  Labels that tie are all given.
+Very long texts are scanned whole; a row's words are held in memory once, and only places that
+match a template are shuffled.  An empty table gives an empty result.  Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -47,6 +47,8 @@ from plumbline.llm.common import mix, seeds, slices, stored
 COORDINATES, BANDS, ROWS = 128, 32, 4
 #: Groups of more rows, or of more shingles, are dealt to blocks of about this size.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 22
+#: Very large buckets, whose rows are short, have larger blocks, so that their rows are copied to fewer groups: from BLOCKS blocks on, up to WIDEST times the size.
+BLOCKS, WIDEST = 64, 16
 #: Texts are hashed in parts of about this many bytes; a longer word is hashed by itself.
 PART = 1 << 18
 #: Groups of more rows are compared one by one, smaller ones many at a time.
@@ -392,7 +394,8 @@ def cells_of(classes: DataFrame, num: int, den: int) -> DataFrame | None:
     members = shared.select("id", "key", "h1").join(buckets.select("key", "n"), "key")
     sketches = classes.select("id", F.xxhash64("set_id").alias("h1"), "n_shingles", "sketch")
     members = members.join(sketches, ["id", "h1"]).select("key", "id", "n", "n_shingles", "sketch")
-    links = stored(trees(meetings(members, "key", F.ceil(F.col("n") / BLOCK_ROWS)), "key", num, den, exact=False), "allowed")
+    size = F.greatest(F.lit(float(BLOCK_ROWS)), F.least(F.col("n") / BLOCKS, F.lit(float(BLOCK_ROWS * WIDEST))))
+    links = stored(trees(meetings(members, "key", F.ceil(F.col("n") / size)), "key", num, den, exact=False), "allowed")
     return components(links)
 
 
