@@ -183,12 +183,19 @@ def graft(a) -> None:
 
 
 def convert_lensmodel(a) -> None:
+    """A model in another lens model: by its stored solve, or fitted to samples of its rays."""
+    from plumbline.operators import reports
     from plumbline.operators.uncertainty import convert_lensmodel as f
     from plumbline.sources import models
 
+    if not a.sampled:
+        with open(a.model, encoding="utf-8") as file:
+            print(reports.converted(models.CameraModel.parse(file.read()), a.to))
+        return
     m = _model(a.model)
     b, rms = f(m["lensmodel"], np.array(m["intrinsics"]), m["imagersize"], a.to, a.gridn, a.distance, a.trials)
-    print(models.format_native({**m, "lensmodel": a.to, "intrinsics": b.tolist()}, f"fitted to samples of {m['lensmodel']}; RMS {rms:.4g} pixels"))
+    alone = {"icam_intrinsics": None, "icam_extrinsics": None, "optimization_inputs": None}
+    print(models.format_native({**m, **alone, "lensmodel": a.to, "intrinsics": b.tolist()}, f"fitted to samples of {m['lensmodel']}; RMS {rms:.4g} pixels"))
 
 
 def query(a) -> None:
@@ -224,7 +231,7 @@ def main(argv: list[str] | None = None) -> None:
     job(show, (("what",), {"choices": ["residuals", "geometry", "uncertainty", "resolution", "distortion", "splined-correction"]}), (("model",), {}), target, gridn, distance, force)
     job(difference, (("models",), {"nargs": "+"}), (("--target",), {"required": True}), gridn, distance, alone, force)
     job(graft, (("intrinsics",), {}), (("extrinsics",), {}))
-    job(convert_lensmodel, (("to",), {}), (("model",), {}), (("--gridn",), {"type": int, "default": 30}), (("--distance",), {"type": float, "default": 1.0}), (("--trials",), {"type": int, "default": 10}))
+    job(convert_lensmodel, (("to",), {}), (("model",), {}), (("--sampled",), {"action": "store_true"}), (("--gridn",), {"type": int, "default": 30}), (("--distance",), {"type": float, "default": 1.0}), (("--trials",), {"type": int, "default": 10}))
     job(query, (("name",), {}), (("tables",), {}), (("target",), {}), force)
     a = p.parse_args(argv)
     a.run(a)

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from plumbline.functions import lens, pose
 from plumbline.functions.scalars import on_frame
 
-IDENTITY = F.array  # poses of cameras at the reference are null and read as six zeros
-
-
 def corner_weight(field: Column, kind: str | None = "level") -> Column:
     """The weight of a corner from its fourth field: level n is 1/2^n; -1 marks an invalid one."""
     if kind is None:
@@ -125,11 +122,19 @@ def exclude_images(corners: DataFrame, names: DataFrame, keys: list[str]) -> Dat
     return corners.join(names, keys, "left_anti")
 
 
-def boards(corners: DataFrame, width_n: int, height_n: int, more_than: int | None = None) -> DataFrame:
-    """(frame, cam, corners): whole boards with enough valid corners, corners in order; frames renumbered densely from 0."""
-    least = 2 * min(width_n, height_n) if more_than is None else more_than
-    grouped = corners.groupBy("frame", "cam").agg(F.sort_array(F.collect_list(F.struct("idx", "x", "y", "w"))).alias("corners"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("w") > 0).alias("valid"))
-    kept = grouped.filter((F.col("n") == width_n * height_n) & (F.col("valid") > least))
+def boards(corners: DataFrame, width_n: int, height_n: int, more_than: int | None = None, on_wrong_size: str = "drop") -> DataFrame:
+    """(iframe, frame, cam, corners): whole boards with enough valid corners, corners in order; frames renumbered densely from 0.
+
+    Boards of a wrong number of corners are dropped, or raise an error with ``on_wrong_size="raise"``; a single row, as of
+    an image without a board, is always dropped.  Sizes are counted first, so no board of a wrong size is gathered.
+    """
+    least, whole = 2 * min(width_n, height_n) if more_than is None else more_than, width_n * height_n
+    sizes = corners.groupBy("frame", "cam").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("w") > 0).alias("valid"))
+    if on_wrong_size == "raise":
+        wrong = F.concat(F.lit("a board has a wrong number of corners: frame "), F.col("frame").cast("string"))
+        sizes = sizes.withColumn("n", F.when(F.col("n").isin(1, whole), F.col("n")).otherwise(F.raise_error(wrong).cast("long")))
+    fits = sizes.filter((F.col("n") == whole) & (F.col("valid") > least)).select("frame", "cam")
+    kept = corners.join(fits, ["frame", "cam"]).groupBy("frame", "cam").agg(F.sort_array(F.collect_list(F.struct("idx", "x", "y", "w"))).alias("corners"))
     return renumber(kept, "frame").select("iframe", "frame", "cam", "corners")
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import lens
 from plumbline.functions.imaging import grid_height
 from plumbline.operators import grids, solver, stereo, views
 from plumbline.operators import observations as obs
@@ -107,6 +108,17 @@ def resolved(model: models.CameraModel) -> models.CameraModel:
     return models.CameraModel(**{**model.fields, "intrinsics": p.intrinsics[i].tolist(), "rt_cam_ref": (p.rt_cam_ref[e] if e is not None and e >= 0 else np.zeros(6)).tolist(), "optimization_inputs": models.inputs_of(replace(p))})
 
 
+def converted(model: models.CameraModel, to: str) -> models.CameraModel:
+    """The model in another lens model, by running its stored solve with that one: from the old core without distortion, geometry first."""
+    p, i, e = problem_of(model), int(model.icam_intrinsics), model.icam_extrinsics
+    n = lens.lensmodel(to).num_params
+    start = np.concatenate([p.intrinsics[:, :4], np.zeros((len(p.intrinsics), n - 4))], 1)
+    p = replace(p, lensmodel=to, intrinsics=start)
+    p, _ = solver.optimize(replace(p, optimize_core=False, optimize_distortions=False), False)
+    p, _ = solver.optimize(replace(p, optimize_core=True, optimize_distortions=True))
+    return models.CameraModel(lensmodel=to, intrinsics=p.intrinsics[i].tolist(), imagersize=list(model.imagersize), rt_cam_ref=(p.rt_cam_ref[e] if e is not None and e >= 0 else np.zeros(6)).tolist(), icam_intrinsics=i, icam_extrinsics=e, optimization_inputs=models.inputs_of(p))
+
+
 # -- images ----------------------------------------------------------------------------------------
 def mapped_images(images: DataFrame, source: dict, target: dict, **how) -> DataFrame:
     """Images of one camera as another would have taken them: by rotation, at a distance or on a plane.  The map is made once a task."""

@@ -142,15 +142,15 @@ def match_feature(image0: np.ndarray, image1: np.ndarray, q0: np.ndarray, search
     t = template - template.mean()
     r = search_radius
     scores = np.full((2 * r + 1, 2 * r + 1), -np.inf)
-    for j in range(-r, r + 1):
-        for i in range(-r, r + 1):
-            x0, y0 = center[0] + i - tw // 2, center[1] + j - th // 2
-            if x0 < 0 or y0 < 0 or x0 + tw > image1.shape[1] or y0 + th > image1.shape[0]:
-                continue
-            p = image1[y0 : y0 + th, x0 : x0 + tw].astype(float)
-            p = p - p.mean()
-            d = math.sqrt((p * p).sum() * (t * t).sum())
-            scores[j + r, i + r] = (p * t).sum() / d if d > 0 else 0.0
+    x0, y0 = center[0] - r - tw // 2, center[1] - r - th // 2  # where the first patch begins
+    i0, i1 = max(0, -x0), min(2 * r + 1, image1.shape[1] - tw - x0 + 1)
+    j0, j1 = max(0, -y0), min(2 * r + 1, image1.shape[0] - th - y0 + 1)
+    if i1 > i0 and j1 > j0:  # all patches within the image at once
+        near = image1[y0 + j0 : y0 + j1 - 1 + th, x0 + i0 : x0 + i1 - 1 + tw].astype(float)
+        patches = np.lib.stride_tricks.sliding_window_view(near, (th, tw))
+        spread = (patches**2).sum((2, 3)) - patches.sum((2, 3)) ** 2 / (th * tw)
+        d = np.sqrt(np.maximum(spread, 0) * (t * t).sum())
+        scores[j0:j1, i0:i1] = np.where(d > 1e-9, np.einsum("jiyx,yx->ji", patches, t) / np.where(d > 1e-9, d, 1), 0.0)
     if not np.isfinite(scores).any():
         return None, {"scores": scores}
     j, i = np.unravel_index(np.argmax(scores), scores.shape)

@@ -167,7 +167,7 @@ SQL: dict[str, str] = {
     "ros_models": _described_sql("LENSMODEL_OPENCV5", ["1000 + 10 * k", "1010", "500.5", "400", "0.1", "0.2", "0.001 * k", "0.01", "0.02"], ["0"] * 6),
     # a quaternion (c, 0, 0, s) turns by cos = c c - s s and sin = 2 c s
     "transforms": f"SELECT k, {_round({f'o{i}': f'CAST({x} AS DOUBLE)' for i, x in enumerate([0.28, -0.96, 0, 0.96, 0.28, 0, 0, 0, 1, 'k', 2, 3.5, -0.28, -0.96, 0, 0.96, -0.28, 0, 0, 0, 1, 1, '0.5 * k', -3, 'k + 2'])})} FROM {NATIONS}",
-    "corner_file": f"SELECT 'frame' || frame || '-cam' || cam || '.png' AS filename, idx AS line, CASE WHEN idx % 4 < 2 THEN CAST(CAST(round(x * 100) AS BIGINT) AS DOUBLE) END AS x, CASE WHEN idx % 4 < 2 THEN floor(y) END AS y, CASE idx % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 ELSE -1.0 END AS w, CASE WHEN cam > 1 THEN 2 ELSE cam END AS cam FROM ({fixtures.CORNER_SQL}) c WHERE idx % 4 < 3",
+    "corner_file": f"SELECT 'frame' || frame || '-cam' || cam || '.png' AS filename, idx AS line, CASE WHEN idx % 4 < 2 THEN CAST(CAST(round(x * 100) AS BIGINT) AS DOUBLE) END AS x, CASE WHEN idx % 4 < 2 THEN floor(y) END AS y, CAST(CASE idx % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 ELSE -1.0 END AS DOUBLE) AS w, CASE WHEN cam > 1 THEN 2 ELSE cam END AS cam FROM ({fixtures.CORNER_SQL}) c WHERE idx % 4 < 3",
     "png_images": f"SELECT vec_id, CAST(sum(v * i) AS BIGINT) AS grey, CAST(sum(257 * v * i) AS BIGINT) AS deep, CAST(sum((255 + t) * i) AS BIGINT) AS color, CAST(sum(257 * v * i) AS BIGINT) AS pgm, CAST(sum((255 + t) * i) AS BIGINT) AS ppm FROM {_PX} GROUP BY vec_id",
     "point_cloud": "SELECT label, count(*) AS vertices, CAST(15 * count(*) AS BIGINT) AS body, round(CAST(arg_max(embedding[3], vec_id) AS DOUBLE), 6) + 0.0 AS last_z FROM embeddings GROUP BY label",
     "match_feature": f"SELECT k, CAST(30 + k % 5 - 2 AS INTEGER) AS x, CAST(28 + k % 4 - 1 AS INTEGER) AS y FROM {NATIONS}",

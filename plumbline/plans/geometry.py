@@ -11,14 +11,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixtures
 from plumbline.fixtures import CORNER_SQL
 from plumbline.functions import imaging, lens, pose
 from plumbline.functions.scalars import NUMPY, on_frame, values
-from plumbline.operators import alignment, grids, layout, solver, uncertainty, views
+from plumbline.operators import alignment, grids, layout, solver, synthetic, uncertainty, views
 from plumbline.operators import observations as obs
 from plumbline.operators import relations as rel
 from plumbline.plans import formula_sql as S
@@ -417,7 +417,32 @@ def frame_numbers(spark, d) -> DataFrame:
     return rel.frame_numbers(files).select("cam", "frame", F.length("path").cast("long").alias("length"))
 
 
-QUERIES = (reproject_points, reproject_at_distance, image_map, triangulate_pixels, points_within_region, difference_of_pinholes, stereo_pair_difference, distortion_off_pinhole, model_resolution, splined_correction, spline_knots, field_of_view, camera_axes, board_outlines, contours, polygon_difference, valid_region, align_vectors, sorted_eigenvalues, pinhole_gradient, compose_tiny, board_pose, calibrate, bundle_points, bundle_rays, optimizer_callback, pack_state, state_layout, measurement_layout, decode_pairs, pair_counts, point_residuals, perfect_corners, cull_random_boards, frame_numbers)
+def synthetic_boards(spark, d) -> DataFrame:
+    """Random boards that two cameras see whole: how many, and how many corners are off the imager or elsewhere than their board's pose says."""
+    cams = [{**A, "lensmodel": "LENSMODEL_OPENCV4", "intrinsics": [*A["intrinsics"], -0.05, 0.02, 0.001, -0.001], "rt_cam_ref": rt} for rt in ([0.0] * 6, [0.02, -0.03, 0.01, -0.3, 0.01, 0.02])]
+    rows = synthetic.board_views(spark, cams, 6, 5, 0.1, 25, [0, 0, 0, 0, 0, 2.0], [0.5, 0.5, 0.5, 0.4, 0.3, 0.5], seed=3)
+    i = F.col("idx")
+    board = [(i % 6 - 2.5) * 0.1, (F.floor(i / 6) - 2) * 0.1, F.lit(0.0)]
+    rt = F.when(F.col("cam") == 1, F.array(*map(F.lit, cams[1]["rt_cam_ref"]))).otherwise(F.array(*[F.lit(0.0)] * 6))
+    rows = rows.withColumn("rt", rt)
+    rows = on_frame(rows, lambda m, c, f, p: lens.project_opencv(m, cams[0]["intrinsics"], pose.transform_point_rt(m, c, pose.transform_point_rt(m, f, p))), [[F.col("rt")[k] for k in range(6)], [F.col("rt_ref_frame")[k] for k in range(6)], board], names=["u", "v"])
+    off = ~(F.col("x").between(0, 639) & F.col("y").between(0, 479))
+    return rows.agg(F.count_distinct("frame").alias("frames"), F.max("frame").alias("last"), F.count(F.lit(1)).alias("corners"), F.count_if(off).alias("off"), F.count_if(F.hypot(F.col("x") - F.col("u"), F.col("y") - F.col("v")) > 1e-6).alias("elsewhere"))
+
+
+def tracks(spark, d) -> DataFrame:
+    """Tracks of a camera that flies on, looking down: whether there are any, and how many break a rule."""
+    model = {"lensmodel": "LENSMODEL_PINHOLE", "intrinsics": [500.0, 500.0, 319.5, 239.5], "imagersize": (640, 480)}
+    # from 100 above ground, z being down; the camera's axes are the world's
+    rows = synthetic.make_tracks(spark, model, 40, [0.0, 0, 0, 0, 0, -100.0], [0.0, 0, 0.01], [4.0, 1.0, 0.0], 200, 12, 5, 4, 10)
+    of_point, of_pose = Window.partitionBy("point"), Window.partitionBy("pose")
+    rows = rows.withColumns({"a": F.count(F.lit(1)).over(of_point), "b": F.count(F.lit(1)).over(of_pose), "span": F.max("pose").over(of_point) - F.min("pose").over(of_point)})
+    turn, dx, dy = F.col("pose") * 0.01, F.col("px") - 4 * F.col("pose"), F.col("py") - F.col("pose")
+    u, v = 5 * (F.cos(turn) * dx + F.sin(turn) * dy) + 319.5, 5 * (F.cos(turn) * dy - F.sin(turn) * dx) + 239.5
+    return rows.agg((F.count(F.lit(1)) > 2000).alias("many"), F.count_if(F.col("pz") != 0).alias("off_ground"), F.count_if((F.col("a") < 4) | (F.col("b") < 10) | (F.col("span") > 11)).alias("short"), F.count_if(F.hypot(F.col("x") - u, F.col("y") - v) > 1e-6).alias("elsewhere"))
+
+
+QUERIES = (synthetic_boards, tracks, reproject_points, reproject_at_distance, image_map, triangulate_pixels, points_within_region, difference_of_pinholes, stereo_pair_difference, distortion_off_pinhole, model_resolution, splined_correction, spline_knots, field_of_view, camera_axes, board_outlines, contours, polygon_difference, valid_region, align_vectors, sorted_eigenvalues, pinhole_gradient, compose_tiny, board_pose, calibrate, bundle_points, bundle_rays, optimizer_callback, pack_state, state_layout, measurement_layout, decode_pairs, pair_counts, point_residuals, perfect_corners, cull_random_boards, frame_numbers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -560,6 +585,8 @@ SQL: dict[str, str] = {
     "point_residuals": "SELECT cam, w, count(*) AS n, round(avg(dx), 4) + 0.0 AS dx, round(avg(dy), 4) + 0.0 AS dy, round(max(abs(dx)), 4) + 0.0 AS most FROM (SELECT cam, w, CASE WHEN w > 0 THEN w * (600 * (px + cam * 0.5) / pz + 320 - x) ELSE 0 END AS dx, CASE WHEN w > 0 THEN w * (610 * (py + CASE WHEN cam > 0 THEN 0.1 ELSE 0 END) / pz + 240 - y) ELSE 0 END AS dy FROM (SELECT CAST(l_suppkey % 4 AS INTEGER) AS cam, CAST(l_quantity AS DOUBLE) AS x, l_linenumber * 10.0 AS y, CAST(l_suppkey % 3 - 1 AS DOUBLE) AS w, p_size * 0.1 AS px, (p_partkey % 7) * 0.1 AS py, 5.0 + p_partkey % 5 AS pz FROM lineitem JOIN part ON p_partkey = l_partkey) j) r GROUP BY cam, w",
     "perfect_corners": f"SELECT frame, cam, idx, w, {_round({'x': '1800 * ((idx % 3) * 0.1 + (cam - 1.5) * 0.2) / (2.0 + (frame % 7) * 0.5) + 1999.5', 'y': '1800 * (floor(idx / 3) * 0.1) / (2.0 + (frame % 7) * 0.5) + 999.5'})} FROM ({CORNER_SQL}) c",
     "cull_random_boards": f"SELECT CAST(round(n / 3.0) AS BIGINT) AS gone, n - CAST(round(n / 3.0) AS BIGINT) AS kept FROM (SELECT count(*) AS n FROM (SELECT DISTINCT frame, cam FROM ({CORNER_SQL}) c) b) t",
+    "synthetic_boards": "SELECT CAST(25 AS BIGINT) AS frames, CAST(24 AS BIGINT) AS last, CAST(1500 AS BIGINT) AS corners, CAST(0 AS BIGINT) AS off, CAST(0 AS BIGINT) AS elsewhere",
+    "tracks": "SELECT TRUE AS many, CAST(0 AS BIGINT) AS off_ground, CAST(0 AS BIGINT) AS short, CAST(0 AS BIGINT) AS elsewhere",
     "frame_numbers": "SELECT CAST(o_custkey % 2 AS INTEGER) AS cam, o_orderkey AS frame, CAST(19 AS BIGINT) AS length FROM orders",
 }
 

@@ -422,3 +422,47 @@ def test_streams(spark, tmp_path):
     got = culling.windowed(events, "ts", "value").orderBy("start").collect()
     assert [r.n for r in got] == [6, 4] and got[0].mean == 2.5 and math.isclose(got[0].stdev, np.std(range(6)))
     assert culling.sessions(events, "ts", "k").first().n == 10
+
+
+def test_boards_of_a_wrong_size(spark):
+    rows = [(f, 0, i, 1.0, 1.0, 1.0) for f, n in ((1, 4), (2, 3), (3, 4), (4, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "frame int, cam int, idx int, x double, y double, w double")
+    assert sorted((r.iframe, r.frame) for r in obs.boards(df, 2, 2, 2).collect()) == [(0, 1), (1, 3)]
+    with pytest.raises(Exception, match="wrong number"):
+        obs.boards(df, 2, 2, 2, on_wrong_size="raise").collect()
+    assert obs.boards(df.filter("frame <> 2"), 2, 2, 2, on_wrong_size="raise").count() == 2
+
+
+@pytest.mark.parametrize("which, both", [("all-cameras-must-see-full-board", True), ("some-cameras-must-see-half-board", False)])
+def test_boards_made_on_the_cluster(spark, which, both):
+    cams = [{"lensmodel": "LENSMODEL_CAHVORE_linearity=0.37" if c else "LENSMODEL_PINHOLE", "intrinsics": [600.0, 610, 320, 240] + [0.0, 0.0, 0.01, 0.0, 0.0, 0.001, 0.0, 0.0] * c, "imagersize": [640, 480], "rt_cam_ref": [0.0, 0.0, 0.0, -0.4 * c, 0.0, 0.0]} for c in (0, 1)]
+    args = (spark, cams, 4, 3, 0.1, 12, [0, 0, 0, 0, 0, 1.5], [0.4, 0.4, 0.4, 0.6, 0.4, 0.2], which, 7)
+    rows = synthetic.board_views(*args).toPandas()
+    assert sorted(rows["frame"].unique()) == list(range(12)) and len(rows) == 12 * 2 * 12
+    inside = rows.assign(ok=rows["x"].between(0, 639) & rows["y"].between(0, 479)).groupby(["frame", "cam"])["ok"].sum().unstack()
+    assert (inside == 12).all().all() if both else (inside.max(1) >= 7).all()
+    again = synthetic.board_views(*args).toPandas()
+    key = ["frame", "cam", "idx"]
+    assert np.allclose(rows.sort_values(key)[["x", "y"]], again.sort_values(key)[["x", "y"]], equal_nan=True)
+    with pytest.raises(ValueError, match="too few"):
+        synthetic.board_views(*args[:6], [0, 0, 0, 50, 0, 1.5], *args[7:], most=64)
+
+
+def test_tracks_of_a_turning_camera(spark):
+    model = {"lensmodel": "LENSMODEL_OPENCV4", "intrinsics": [500.0, 500.0, 319.5, 239.5, -0.02, 0.01, 0.0, 0.0], "imagersize": (640, 480)}
+    rows = synthetic.make_tracks(spark, model, 20, [0.1, 0.2, 0.0, 0.0, 0.0, -50.0], [0.0, 0.02, 0.01], [1.0, 0.5, 0.0], 150, 10, 4, 4, 8).toPandas()
+    assert len(rows) > 500 and rows.groupby("point").size().min() >= 4 and rows.groupby("pose").size().min() >= 8
+    for r in rows.sample(40, random_state=0).itertuples():
+        turn = values(pose.compose_r(NUMPY, [np.float64(v) for v in (0.1, 0.2, 0.0)], [np.float64(r.pose * v) for v in (0.0, 0.02, 0.01)]))
+        rt = [*turn, r.pose * 1.0, r.pose * 0.5, -50.0]
+        p = values(pose.transform_point_rt_inverted(NUMPY, [np.float64(v) for v in rt], [np.float64(v) for v in (r.px, r.py, r.pz)]))
+        assert r.pz == 0 and np.allclose(lens.project(p, model["lensmodel"], np.array(model["intrinsics"])), [r.x, r.y], atol=1e-6)
+
+
+def test_features_at_the_border():
+    a = np.random.default_rng(2).uniform(0, 255, (40, 50))
+    q, d = stereo.match_feature(a, a, np.array([8.0, 9.0]), 5, (9, 9))
+    assert np.allclose(q, [8, 9], atol=0.3) and abs(d["best"] - 1) < 1e-9
+    y, x = np.unravel_index(np.nanargmax(d["scores"]), d["scores"].shape)
+    assert (x, y) == (5, 5) and np.isinf(d["scores"][0, 0]) and np.isfinite(d["scores"][5, 5])
+    assert stereo.match_feature(a, a[:6, :6], np.array([3.0, 3.0]), 2, (9, 9))[0] is None

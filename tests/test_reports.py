@@ -57,6 +57,15 @@ def test_reports_of_a_model(spark, solved):
     assert np.allclose(again.intrinsics[1], m.intrinsics[1], atol=1e-3)
 
 
+def test_another_lens_model_by_the_solve(solved):
+    m = model_of(solved[1])
+    c = reports.converted(m, "LENSMODEL_OPENCV8")
+    q = np.array([[300.0, 200], [960, 600], [1500, 900]])
+    was, now = (lens.unproject(q, *x.intrinsics, normalize=True) for x in (m, c))
+    assert np.degrees(np.arccos(np.clip((was * now).sum(1), -1, 1))).max() < 0.1
+    assert c.intrinsics[0] == "LENSMODEL_OPENCV8" and not c.moved_since_solve() and not c.same_solve(m)
+
+
 def test_layout_of_problems_equals_the_solver(spark):
     shapes = [(3, 2, 5, 4, 1, 4), (1, 0, 3, 0, 0, 2)]
     rows, problems = [], []
