@@ -69,11 +69,11 @@ def board_views(spark: SparkSession, models: list[dict], width_n: int, height_n:
         rt = F.array(*[c + (uniform(seed, k, "draw") * 2 - 1) * n for k, (c, n) in enumerate(zip(map(float, center), map(float, noise), strict=True))])
         rows = rows.select("draw", rt.alias("rt_ref_frame"), F.explode(F.sequence(F.lit(0), F.lit(width_n * height_n - 1))).alias("idx"))
         at = [(F.col("idx") % width_n - (width_n - 1) / 2) * spacing, (F.floor(F.col("idx") / width_n) - (height_n - 1) / 2) * spacing, F.lit(0.0)]
-        rows = on_frame(rows, pose.transform_point_rt, [[F.col("rt_ref_frame")[k] for k in range(6)], at], names=["X", "Y", "Z"])
+        rows = on_frame(rows, pose.transform_point_rt, [[F.col("rt_ref_frame")[k] for k in range(6)], at], names=["bx", "by", "bz"])
         seen = None
         for c, m in enumerate(models):
             (w, h), cam = m["imagersize"], [F.lit(float(v)) for v in m["rt_cam_ref"]]
-            one = on_frame(rows, pose.transform_point_rt, [cam, [F.col(k) for k in "XYZ"]], names=["cx", "cy", "cz"])
+            one = on_frame(rows, pose.transform_point_rt, [cam, [F.col(k) for k in ("bx", "by", "bz")]], names=["cx", "cy", "cz"])
             one = lens.with_pixels(one, [F.col(k) for k in ("cx", "cy", "cz")], m["lensmodel"], m["intrinsics"], ("x", "y"))
             inside = (F.col("cz") > 0) & F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1)
             one = one.select("draw", F.lit(c).alias("cam"), "idx", "x", "y", "rt_ref_frame", F.coalesce(inside, F.lit(False)).alias("inside"))
@@ -112,10 +112,12 @@ def make_tracks(spark: SparkSession, model: dict, n_poses: int, rt_world_cam: li
         far = m.div(-rt[5], ray[2])
         return [*[p + r * far for p, r in zip(rt[3:], ray, strict=True)], far]
 
-    born = on_frame(born.select("point", "first", "vx", "vy", "vz"), ground, [[F.col("first")], [F.col(c) for c in ("vx", "vy", "vz")]], names=["px", "py", "pz", "far"]).filter("far > 0")
+    born = on_frame(born.select("point", "first", "vx", "vy", "vz"), ground, [[F.col("first")], [F.col(c) for c in ("vx", "vy", "vz")]], names=["px", "py", "pz", "far"])
+    # a filter would be pushed down through the formula's projections and repeat their shared parts without bound
+    born = stored(born, "born").filter("far > 0")
     seen = born.select("point", "px", "py", F.lit(0.0).alias("pz"), F.explode(F.sequence("first", F.least(F.col("first") + track_length - 1, F.lit(n_poses - 1)))).alias("pose"))
     seen = on_frame(seen, lambda m, n, p: pose.transform_point_rt_inverted(m, stand(m, n[0]), p), [[F.col("pose")], [F.col(c) for c in ("px", "py", "pz")]], names=["cx", "cy", "cz"])
-    seen = lens.with_pixels(seen, [F.col(c) for c in ("cx", "cy", "cz")], name, intrinsics, ("x", "y"))
+    seen = stored(lens.with_pixels(seen, [F.col(c) for c in ("cx", "cy", "cz")], name, intrinsics, ("x", "y")), "seen")
     seen = seen.filter((F.col("cz") > 0) & F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1)).select("point", "pose", "x", "y", "px", "py", "pz")
     return relations.cull_tracks(seen, "point", "pose", least_per_point, least_per_pose)
 
