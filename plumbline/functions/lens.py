@@ -348,8 +348,27 @@ def splined_formula(model: LensModel, intrinsics):
     return formula
 
 
+def project_splined_arrays(p: np.ndarray, model: LensModel, intrinsics: np.ndarray) -> np.ndarray:
+    """The same as ``project_splined``, for pixels alone: a control point's two coordinates are fetched and weighted as one complex number."""
+    i = np.ascontiguousarray(intrinsics, float)
+    u = stereographic_u(NUMPY, _parts(p))
+    at = [c * model.segments_per_u + (n - 1) / 2 for c, n in zip(u, (model.nx, model.ny), strict=True)]
+    (kx, x0), (ky, y0) = (spline_cell(model, np.nan_to_num(c), n) for c, n in zip(at, (model.nx, model.ny), strict=True))
+    wx, wy = spline_weights(at[0] - kx, model.order), spline_weights(at[1] - ky, model.order)
+    points, first = i[4:].view(np.complex128), y0 * model.nx + x0
+    moved = u[0] + 1j * u[1]
+    for a, w in enumerate(wy):
+        row = wx[0] * points[first + a * model.nx]
+        for b in range(1, len(wx)):
+            row = row + wx[b] * points[first + (a * model.nx + b)]
+        moved = moved + w * row
+    return np.stack(_core(NUMPY, i, moved.real, moved.imag), -1)
+
+
 def project(p: np.ndarray, model: str | LensModel, intrinsics: np.ndarray) -> np.ndarray:
     """Pixels (..., 2) of points (..., 3); intrinsics (n) or, but for splined models, broadcast (..., n)."""
+    if (m := lensmodel(model)).nx:
+        return project_splined_arrays(np.asarray(p, float), m, intrinsics)
     return values(_project(NUMPY, lensmodel(model), np.asarray(intrinsics, float), _parts(p)))
 
 
@@ -462,14 +481,32 @@ def unproject_column(q: Column, model: str, intrinsics: Column) -> Column:
     return F.array(*f(SPARK, [intrinsics[j] for j in range(4)], [q[j] for j in range(2)]))
 
 
+def with_kernel(df: DataFrame, inputs: list[str], kernel, names: list[str]) -> DataFrame:
+    """``df`` with the columns that ``kernel`` makes of (rows, inputs), a batch of rows at a time; null where a result is not finite or an input is null."""
+    keep = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([np.asarray(b.column(c).cast(pa.float64()).fill_null(np.nan)) for c in inputs], -1)
+            with np.errstate(all="ignore"):
+                out = np.asarray(kernel(x), float).reshape(b.num_rows, len(names)) if b.num_rows else np.zeros((0, len(names)))
+            yield pa.record_batch([*b.columns, *[pa.array(c, mask=~np.isfinite(c)) for c in _parts(out)]], names=[*keep, *names])
+
+    return df.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], *[f"`{n}` double" for n in names]]))
+
+
 def with_pixels(df: DataFrame, point: list[Column], model: str, intrinsics, names: tuple[str, str] = ("qx", "qy")) -> DataFrame:
-    """One model for all rows: the pixel of a point as two columns, by generated code (CAHVORE: in Arrow batches); null where there is none."""
+    """One model for all rows: the pixel of a point as two columns; null where there is none.
+
+    Closed forms are generated code.  Splined models and CAHVORE are array kernels on flat columns: as
+    generated code (``splined_formula``) a spline's sixteen terms are too much for one method, and slower.
+    """
     k = lensmodel(model)
-    if k.kind == "LENSMODEL_CAHVORE":
-        rows = _in_batches(df.withColumn("__p", F.array(*point)), "__p", lambda p: project(p, k, np.asarray(intrinsics, float)), "__q")
-        return rows.select(*df.columns, *[F.col("__q")[j].alias(n) for j, n in enumerate(names)])
-    formula = splined_formula(k, intrinsics) if k.nx else lambda m, p: CLOSED[k.kind][0](m, [float(x) for x in intrinsics], p)
-    return on_frame(df, formula, [point], names=list(names))
+    if k.kind in CLOSED:
+        return on_frame(df, lambda m, p: CLOSED[k.kind][0](m, [float(x) for x in intrinsics], p), [point], names=list(names))
+    i, own = np.asarray(intrinsics, float), ["__px", "__py", "__pz"]
+    rows = df.withColumns({n: c.cast("double") for n, c in zip(own, point, strict=True)})
+    return with_kernel(rows, own, lambda p: project(p, k, i), list(names)).drop(*own)
 
 
 def matrix_of(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -498,18 +535,6 @@ def lists_of(values: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[good].ravel()), mask=pa.array(mask))
 
 
-def _in_batches(df: DataFrame, source: str, kernel, out: str) -> DataFrame:
-    """``kernel`` of the arrays of a column, a batch at a time."""
-    names = df.columns
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            x, at = matrix_of(b.column(source))
-            yield pa.record_batch([*b.columns, lists_of(np.asarray(kernel(x), float) if len(x) else np.zeros((0, 1)), at, b.num_rows)], names=[*names, out])
-
-    return df.mapInArrow(run, df.withColumn(out, F.lit(None).cast("array<double>")).schema)
-
-
 def _with(df: DataFrame, source: str, model_col: str, intrinsics_col: str, out: str, kernel) -> DataFrame:
     """A kernel of points with a model each: rows of one camera go through it together."""
     names = df.columns

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.functions import lens, pose
+from plumbline.functions.lens import with_kernel
 from plumbline.functions.scalars import NUMPY, values
 
 
@@ -16,20 +16,6 @@ def parts(a: np.ndarray) -> list[np.ndarray]:
     return [a[..., i] for i in range(a.shape[-1])]
 
 
-def with_kernel(df: DataFrame, inputs: list[str], kernel: Callable[[np.ndarray], np.ndarray], names: list[str]) -> DataFrame:
-    """``df`` with the columns that ``kernel`` makes of (rows, inputs); null where a result is not finite or an input is null."""
-    keep = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.stack([np.asarray(b.column(c).cast(pa.float64()).fill_null(np.nan)) for c in inputs], -1)
-            with np.errstate(all="ignore"):
-                out = np.asarray(kernel(x), float).reshape(b.num_rows, len(names)) if b.num_rows else np.zeros((0, len(names)))
-            yield pa.record_batch([*b.columns, *[pa.array(c, mask=~np.isfinite(c)) for c in parts(out)]], names=[*keep, *names])
-
-    return df.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], *[f"`{n}` double" for n in names]]))
-
-
 def grid_size(imagersize, nx: int, ny: int | None = None) -> tuple[int, int]:
     w, h = (int(v) for v in imagersize)
     return nx, int(round(h / w * nx)) if ny is None else ny

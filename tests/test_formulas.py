@@ -170,6 +170,10 @@ def test_splines_as_columns_equal_arrays(spark, order):
     got = lens.with_pixels(df, [F.col(c) for c in "xyz"], name, i).orderBy("k").collect()
     assert np.allclose([(r.qx, r.qy) for r in got[:200]], lens.project(p, name, i), rtol=1e-12, atol=1e-9)
     assert got[200].qx is None and got[201].qy is None
+    code = on_frame(df, lens.splined_formula(lens.lensmodel(name), i), [[F.col(c) for c in "xyz"]], names=["qx", "qy"]).orderBy("k").limit(200).collect()
+    assert np.allclose([(r.qx, r.qy) for r in code], lens.project(p, name, i), rtol=1e-12, atol=1e-9)
+    generic = values(lens.project_splined(NUMPY, lens.lensmodel(name), i, [p[:, k] for k in range(3)])[0])
+    assert np.allclose(generic, lens.project(p, name, i), rtol=1e-12, atol=1e-9)
 
 
 def test_projections_with_a_model_a_row(spark):
