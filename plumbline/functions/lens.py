@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.pose import cross, dot, norm
+from plumbline.functions.pose import dot, norm
 from plumbline.functions.scalars import DUAL, NUMPY, SPARK, Dual, dual_inputs, jacobian, on_frame, values
 
 # Model names and their numbers of parameters.
@@ -620,4 +620,4 @@ def report_fov(model: str | LensModel, intrinsics: np.ndarray, imagersize) -> di
     return {k: float(2 * a.mean()) if len(a) else math.nan for k, a in edge_angles(model, intrinsics, imagersize).items()}
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("cross",)]
+__all__ = [n for n in dir() if not n.startswith("_")]
