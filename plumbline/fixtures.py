@@ -46,7 +46,11 @@ FROM (SELECT *, {CAMERA["f"]} * ((idx % 3) * 0.1 + (cam - 1.5) * 0.2) / (2.0 + (
 
 
 def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corners with weighted residuals (dx, dy): observations joined with frame and camera tables, projected, less what was seen."""
+    """Corners with weighted residuals (dx, dy): observations joined with frame and camera tables, projected, less what was seen.
+
+    Offsets and order of operations give the pixels of RESIDUAL_SQL to the last bit, as residuals at the border of a bin need.
+    """
+    from plumbline.functions.lens import project_pinhole_late
     from plumbline.operators.observations import board_residuals
 
     seen = corners(spark, sf_dir)
@@ -56,9 +60,9 @@ def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     cams = spark.range(4).select(
         F.col("id").cast("int").alias("cam"),
         F.array(F.lit(CAMERA["f"]), F.lit(CAMERA["f"]), F.lit(CAMERA["cx"]), F.lit(CAMERA["cy"])).alias("intrinsics"),
-        F.array(*[F.lit(0.0)] * 3, (F.col("id") - 1.5) * 0.2, F.lit(0.0), F.lit(0.0)).alias("rt_cam_ref"),
+        F.array(*[F.lit(0.0)] * 3, (2 * F.col("id") - 3) / 10.0, F.lit(0.0), F.lit(0.0)).alias("rt_cam_ref"),
     )
-    return board_residuals(seen, frames, cams, spacing=0.1, width_n=3, lensmodel="LENSMODEL_PINHOLE")
+    return board_residuals(seen, frames, cams, spacing=0.1, width_n=3, lensmodel="LENSMODEL_PINHOLE", project=project_pinhole_late)
 
 
 VEC_SQL = "SELECT vec_id, embedding AS e FROM embeddings"

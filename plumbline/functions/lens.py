@@ -122,6 +122,11 @@ def project_pinhole(m, i, p):
     return _core(m, i, m.div(p[0], p[2]), m.div(p[1], p[2]))
 
 
+def project_pinhole_late(m, i, p):
+    """The same, divided last: a product of short decimals is exact or nearly so, and only the quotient is rounded."""
+    return [m.div(p[0] * i[0], p[2]) + i[2], m.div(p[1] * i[1], p[2]) + i[3]]
+
+
 def unproject_pinhole(m, i, q):
     return [m.div(q[0] - i[2], i[0]), m.div(q[1] - i[3], i[1]), m.num(1)]
 

@@ -28,13 +28,16 @@ def board_point(width_n: int, spacing: float, warp: tuple[float, float] | None =
     return [ix * spacing, iy * spacing, z]
 
 
-def board_residuals(seen: DataFrame, frames: DataFrame, cameras: DataFrame, spacing: float, width_n: int, lensmodel: str, warp=None) -> DataFrame:
-    """Corners with dx, dy = weight (predicted - seen), 0 where the weight is negative: seen joined with frames and cameras, projected."""
+def board_residuals(seen: DataFrame, frames: DataFrame, cameras: DataFrame, spacing: float, width_n: int, lensmodel: str, warp=None, project=None) -> DataFrame:
+    """Corners with dx, dy = weight (predicted - seen), 0 where the weight is negative: seen joined with frames and cameras, projected.
+
+    ``project`` is another form of the lens model's formula, for results that depend on the last bit.
+    """
     n = lens.lensmodel(lensmodel).num_params
     rows = seen.join(frames, "frame").join(cameras, "cam")
     zeros = F.array(*[F.lit(0.0)] * 6)
     rows = rows.withColumn("rt_cam_ref", F.coalesce("rt_cam_ref", zeros))
-    project = lens.CLOSED[lensmodel][0]
+    project = project or lens.CLOSED[lensmodel][0]
 
     def predicted(m, i, cam, frame, p):
         return project(m, i, pose.transform_point_rt(m, cam, pose.transform_point_rt(m, frame, p)))
