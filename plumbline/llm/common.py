@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Sub-batches handed to the vectorised kernels hold about this many bytes of text.
 BATCH_BYTES = 4 << 20
+#: Bytes of a Parquet row group that a task fills before it writes it, and rows that a task decodes at once.
+ROW_GROUP, READ_ROWS = 16 << 20, 512
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -24,6 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_buffers(spark: SparkSession) -> None:
+    """From now on, tasks of this session that read and write whole texts hold little of them, where the session has no such settings of its own.
+
+    By Spark's defaults a task holds a row group of up to 128 MB that it reads, one as large that it
+    writes, and 4,096 decoded rows; eight such tasks do not fit a heap of 1 GB, Spark's default.
+    A plan takes these settings when it runs, so they can't be put back before the caller has written the rows.
+    """
+    if spark.conf.get("parquet.block.size", None) is None and spark.sparkContext._jsc.hadoopConfiguration().get("parquet.block.size") is None:
+        spark.conf.set("parquet.block.size", str(ROW_GROUP))
+    if spark.conf.get("spark.sql.parquet.columnarReaderBatchSize", None) is None:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which driver and executors share.
 

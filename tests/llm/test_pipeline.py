@@ -100,3 +100,30 @@ def test_every_stage_on_odd_rows(spark, rows):
         pieces.setdefault(r.doc_id, []).append(r)
     assert pieces.keys() == {r[0] for r in rows} and sum(r.length for r in pieces[4]) == 2 * pieces[4][0].doc_tokens
     assert [r.length for r in pieces[1]] == [1]
+
+
+def test_stages_make_tasks_hold_little(spark, tmp_path):
+    """Spark's default row groups of 128 MB, one read and one written by each task, did not fit a small heap."""
+    import corpus_pipeline as C
+    import pyarrow.parquet as pq
+
+    own = spark.newSession()  # other tests' stages have set up the shared one
+    text = "concat_ws('', transform(sequence(1, 600), i -> sha2(concat(id, '-', i), 256)))"
+    docs = own.range(0, 900, 1, 1).selectExpr("id AS doc_id", f"{text} AS text", "'en' AS lang", "'s' AS source", "38400L AS n_chars")
+    C.toxic(own, docs, SF).write.parquet(str(tmp_path / "out"))
+    groups = [m.row_group(i) for f in (tmp_path / "out").glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 900
+    assert max(g.total_byte_size for g in groups) < 24 << 20 < sum(g.total_byte_size for g in groups)
+    assert int(own.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+
+
+def test_stages_leave_own_settings(spark):
+    import corpus_pipeline as C
+    from plumbline.llm.common import table
+
+    own = spark.newSession()
+    given = {"parquet.block.size": "1048576", "spark.sql.parquet.columnarReaderBatchSize": "1000"}
+    for k, v in given.items():
+        own.conf.set(k, v)
+    C.private(own, table(own, SF, "documents"), SF)
+    assert {k: own.conf.get(k) for k in given} == given
